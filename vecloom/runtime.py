@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def slices(column: pa.Array | pa.ChunkedArray, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose texts hold about ``chars`` bytes together (always one row at least)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.asarray(column.cast(pa.large_binary()).fill_null(b"").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
