@@ -1,0 +1,35 @@
+"""The queries of the training-data operators, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vecloom.llm.chunking import oversized, split_items
+from vecloom.llm.repetition import repetition, repetitive_documents
+from vecloom.sources import table
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(table(spark, sf_dir, "store_items"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(table(spark, sf_dir, "store_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitive_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p9_found": p9_found,
+    "p9_repetition": p9_repetition,
+}
+
+ORACLE: dict[str, str] = {}
