@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm.chunking import oversized, split_items
+from vecloom.llm.neardup import Similarity, near_duplicate_groups, near_duplicate_pairs
 from vecloom.llm.repetition import repetition, repetitive_documents
 from vecloom.sources import table
 
 
+#: What TESTDATA.md counts as a changed copy of an item.
+ITEM_COPY = Similarity(shingle=3, least=0.6, least_words=20)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, sf_dir, "store_items"), "id", "content.data", ITEM_COPY)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "store_items"), "id", "content.data", ITEM_COPY)
+
+
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "store_items"))
 
@@ -26,6 +43,9 @@ def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p1_documents": p1_documents,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p9_found": p9_found,
