@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.llm.annforest import most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
 from vecloom.llm.neardup import Similarity, near_duplicate_groups, near_duplicate_pairs
 from vecloom.llm.repetition import repetition, repetitive_documents
@@ -26,6 +27,15 @@ def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "store_items"))
+
+
+def p2_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar items of every item, whatever their similarity."""
+    return most_similar(table(spark, sf_dir, "store_items"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "store_items"))
 
@@ -46,6 +56,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p1_documents": p1_documents,
+    "p2_found": p2_found,
+    "p2_most_similar": p2_most_similar,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p9_found": p9_found,
