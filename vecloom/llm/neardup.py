@@ -125,8 +125,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
        keyed by shingle; a tile's rows of the same and the neighbouring size bands meet. A meeting passes
        if sizes, places in the order and the bit counts of 64-bit signatures allow enough in common. Copies
        are combined within each task before the shuffle; hot tiles are split by the adaptive join.
-    3. Only texts of passing classes move again. Each pair's band-wide bitmaps bound the overlap from above;
-       what passes is decided by intersecting the sorted arrays.
+    3. Bitmaps as wide as the size band, a few bits a shingle, bound each meeting's overlap from above.
+    4. Only texts of classes that pass move again; intersecting the sorted arrays decides.
 
     No pair is lost: every bound holds for any order and any hash (two of a text's shingles meeting in 64
     bits aside). Null, empty and short texts are in no class. Repeated rows and repeated texts share a class.
@@ -184,9 +184,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in sets(batches):
             keep = [i for i, s in enumerate(found) if s is not None]
-            yield pa.record_batch({"id": ids.take(pa.array(keep, pa.int64())), "class": pa.array([xxhash.xxh3_128_digest(found[i].tobytes()) for i in keep], pa.binary())})
+            yield pa.record_batch({"id": ids.take(pa.array(keep, pa.int64())), "class": pa.array([xxhash.xxh3_128_digest(found[i].tobytes()) for i in keep], pa.binary()), "n": pa.array([len(found[i]) for i in keep], pa.int32()), "bitmap": pa.array([bitmap(found[i], band_bits(len(found[i]))).tobytes() for i in keep], pa.binary())})
 
-    members = stage(source.mapInArrow(classes, f"id {id_type}, class binary"), "members")
+    described = stage(source.mapInArrow(classes, f"id {id_type}, class binary, n int, bitmap binary"), "members")
+    members = described.select("id", "class")
 
     entry = source.mapInArrow(tokens, "tile bigint, class binary, n int, place int, signature bigint")
     a, b = entry.alias("a"), entry.alias("b")
@@ -201,6 +202,20 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     # both sides of the self-join read one exchange, so every tile row moves once
     met = stage(a.hint("merge").join(b.hint("merge"), meets).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct(), "met")
 
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = [batch[c].to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b")]
+            for i, (n, m, x, y) in enumerate(zip(*columns, strict=True)):
+                if overlap_bound(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m) >= int(np.ceil(least / (1 + least) * (n + m) - 1e-9)):
+                    keep.append(i)
+            yield batch.select(["class_a", "class_b"]).take(pa.array(keep, pa.int64()))
+
+    # a bitmap takes a few bits a shingle, an array 64: what the bit counts rule out never moves as arrays
+    signed = described.select("class", "n", "bitmap").dropDuplicates(["class"])
+    side = lambda x: signed.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "bitmap")])
+    met = stage(met.join(side("a"), "class_a").join(side("b"), "class_b").mapInArrow(bounded, "class_a binary, class_b binary"), "possible")
+
     wanted = met.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     speakers = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
 
@@ -215,16 +230,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, similarity = [], []
-            last, x, wide = None, None, None
-            for i in range(batch.num_rows):
-                buffer = batch["shingles_a"][i].as_buffer()
-                if last is None or batch["class_a"][i] != last:
-                    last, x = batch["class_a"][i], np.frombuffer(buffer, np.uint64)
-                    wide = bitmap(x, band_bits(len(x)))
-                y = np.frombuffer(batch["shingles_b"][i].as_buffer(), np.uint64)
-                must = int(np.ceil(least / (1 + least) * (len(x) + len(y)) - 1e-9))
-                if overlap_bound(wide, len(x), bitmap(y, band_bits(len(y))), len(y)) < must:
-                    continue
+            for i, (left, right) in enumerate(zip(batch["shingles_a"], batch["shingles_b"], strict=True)):
+                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 both = common(x, y)
                 if both >= least * (len(x) + len(y) - both) - 1e-9:
                     keep.append(i)
