@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecloom.llm.annforest import most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
+from vecloom.llm.markup import clean_texts, markup_kinds
 from vecloom.llm.neardup import Similarity, near_duplicate_groups, near_duplicate_pairs
 from vecloom.llm.repetition import repetition, repetitive_documents
 from vecloom.sources import table
@@ -36,6 +38,16 @@ def p2_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_similar(table(spark, sf_dir, "store_items"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup_kinds(table(spark, sf_dir, "store_items"))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's clean text, and the kinds of markup it held as a comma-separated list."""
+    clean = clean_texts(table(spark, sf_dir, "store_items"))
+    return clean.select("id", F.array_join("kinds", ",").alias("kinds"), "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "store_items"))
 
@@ -58,6 +70,8 @@ QUERIES = {
     "p1_documents": p1_documents,
     "p2_found": p2_found,
     "p2_most_similar": p2_most_similar,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p9_found": p9_found,
