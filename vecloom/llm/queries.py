@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.annforest import most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
+from vecloom.llm.linkage import clustered_codes, codebook, described_clusters, similarity_clusters
 from vecloom.llm.markup import clean_texts, markup_kinds
 from vecloom.llm.neardup import Similarity, near_duplicate_groups, near_duplicate_pairs
 from vecloom.llm.repetition import repetition, repetitive_documents
@@ -48,6 +49,16 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("id", F.array_join("kinds", ",").alias("kinds"), "text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, members = similarity_clusters(table(spark, sf_dir, "store_items"))
+    return clustered_codes(classes, members, *codebook(table(spark, sf_dir, "centroids"))).select("id", "code")
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, members = similarity_clusters(table(spark, sf_dir, "store_items"))
+    return described_clusters(classes, members, *codebook(table(spark, sf_dir, "centroids")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(table(spark, sf_dir, "store_items"))
 
@@ -72,6 +83,8 @@ QUERIES = {
     "p2_most_similar": p2_most_similar,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p9_found": p9_found,
