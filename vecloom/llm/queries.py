@@ -9,7 +9,9 @@ from vecloom.llm.annforest import most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
 from vecloom.llm.linkage import clustered_codes, codebook, described_clusters, similarity_clusters
 from vecloom.llm.markup import clean_texts, markup_kinds
+from vecloom.llm.mixing import mix_sources
 from vecloom.llm.neardup import Similarity, near_duplicate_groups, near_duplicate_pairs
+from vecloom.llm.packing import pack, packing_report
 from vecloom.llm.repetition import repetition, repetitive_documents
 from vecloom.sources import table
 
@@ -67,6 +69,22 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "store_items"))
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p7_pack(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -87,6 +105,10 @@ QUERIES = {
     "p4_clusters": p4_clusters,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_pack": p7_pack,
+    "p7_report": p7_report,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_repetition": p9_repetition,
 }
