@@ -130,18 +130,20 @@ class Stretch:
             self.done = stop
 
 
-def forest_pairs(classes: DataFrame, k: int, least: float, dimension: int, forest: Forest = Forest()) -> DataFrame:
-    """Candidate links (a, b, score) between class names ``ids[0]``: for every class and tree its k best within reach.
+def forest_links(classes: DataFrame, k: int, least: float, dimension: int, forest: Forest = Forest()) -> DataFrame:
+    """Links (a, b, score) from class names ``ids[0]`` to others: for every class and tree its k best within reach.
 
     Each tree is one sorted array of hash strings: rows are range-partitioned by (tree, string), so a task holds
     a stretch of an array, and neighbours in it are the vectors with the longest common prefixes. The walk widens
     from the longest prefix to shorter ones until ``reach`` vectors are met on either side, in all trees alike.
     Vectors travel as 8-bit integers; scores are within about 0.005 of the cosine and only choose candidates.
-    A link is given if it is among the best of either end.
+    A link found in several trees is given several times.
     """
     spark = classes.sparkSession
     first = classes.select(F.col("ids")[0].alias("id"), "vector")
-    sample = first.orderBy(F.xxhash64("id"), "id").limit(forest.planes_from).select("vector").toPandas()["vector"]
+    # a hash range of about four times the sample, so that no task sends much to choose it from
+    rate = int(min(1.0, 4 * forest.planes_from / max(1, first.count())) * (1 << 20))
+    sample = first.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= rate).orderBy(F.xxhash64("id"), "id").limit(forest.planes_from).select("vector").toPandas()["vector"]
     known = _unit(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dimension)) if len(sample) else np.zeros((0, dimension))
     shared = spark.sparkContext.broadcast(fit_planes(known, forest))
     id_type = first.schema["id"].dataType.simpleString()
@@ -188,7 +190,12 @@ def forest_pairs(classes: DataFrame, k: int, least: float, dimension: int, fores
 
     rows = first.mapInArrow(strings, f"tree int, string bigint, id {id_type}, packed binary")
     sorted_trees = rows.repartitionByRange(max(shuffle_partitions(spark), trees), "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
-    links = sorted_trees.mapInArrow(walk, f"a {id_type}, b {id_type}, score float")
+    return sorted_trees.mapInArrow(walk, f"a {id_type}, b {id_type}, score float")
+
+
+def forest_pairs(classes: DataFrame, k: int, least: float, dimension: int, forest: Forest = Forest()) -> DataFrame:
+    """The links of ``forest_links`` without direction, once each: (a, b, score), a < b."""
+    links = forest_links(classes, k, least, dimension, forest)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 

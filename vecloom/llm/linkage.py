@@ -11,19 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.annforest import Forest, _matrix, _unit, forest_pairs, vector_classes
-from vecloom.runtime import stage
+from vecloom.llm.annforest import Forest, _matrix, _unit, forest_links, vector_classes
+from vecloom.runtime import release, stage
 
 
 @dataclass(frozen=True)
 class Linkage:
-    """``least``: average similarity below which nothing merges. ``links``: best links a vector and tree of the sparse
-    graph. ``finish_links``: size up to which the contracted graph (not the data) is finished in one task."""
+    """``least``: average similarity below which nothing merges. ``links``: links to its most similar others that every
+    cluster keeps in the sparse graph, in every round. ``finish_links``: size up to which the contracted graph (not the
+    data) is finished in one task."""
 
     least: float = 0.3
     links: int = 3
-    forest: Forest = Forest(trees=4, reach=128)
-    finish_links: int = 150_000
+    forest: Forest = Forest(trees=3, reach=128)
+    finish_links: int = 200_000
     most_rounds: int = 200
 
 
@@ -86,27 +87,34 @@ def _unpacked(column: pa.Array, dimension: int) -> np.ndarray:
     return raw[:, :dimension].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, dimension:]).view(np.float32) / 127)
 
 
-def _round(nodes: DataFrame, links: DataFrame, labels: DataFrame, how: Linkage, dimension: int, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """One distributed round; the number is that of the links left."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "similarity"), F.struct(F.col("b").alias("node"), "a", "b", "similarity"))).alias("e")).select("e.*")
-    best = ends.groupBy("node").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "a", "b")).alias("best"))
-    merges = stage(best.groupBy("best.a", "best.b").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("a").alias("kept"), F.col("b").alias("gone")), "merges")
+def _ranked(links: DataFrame, keep: int) -> DataFrame:
+    """(node, other, similarity, rank): every node's ``keep`` most similar others, both directions of every link."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))).alias("e")).select("e.*")
+    # one exchange serves the repeats and the ranking
+    ends = ends.repartition("node").dropDuplicates(["node", "other"])
+    # ties are broken by the pair, the same seen from either end, so the best link of all is always reciprocal
+    order = Window.partitionBy("node").orderBy(F.desc("similarity"), F.least("node", "other"), F.greatest("node", "other"))
+    return ends.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
+def _round(nodes: DataFrame, ranked: DataFrame, labels: DataFrame, how: Linkage, dimension: int, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One distributed round."""
+    pair = ranked.filter("rank = 1").select(F.least("node", "other").alias("kept"), F.greatest("node", "other").alias("gone"))
+    merges = stage(pair.groupBy("kept", "gone").agg(F.count("*").alias("n")).filter("n = 2").select("kept", "gone"), "merges")
     moved = nodes.join(merges, F.col("node") == F.col("gone")).select("kept", F.col("size").alias("more"), F.col("total").alias("added"))
     rest = nodes.join(merges.select(F.col("gone").alias("node")), "node", "left_anti")
-    nodes = stage(
+    after = stage(
         rest.join(moved, F.col("node") == F.col("kept"), "left").select(
             "node",
             (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
             F.when(F.col("added").isNull(), F.col("total")).otherwise(F.zip_with("total", "added", lambda x, y: x + y)).alias("total"),
-            (F.col("added").isNotNull()).alias("changed"),
         ),
         "nodes",
     )
-    labels = stage(labels.join(merges, F.col("node") == F.col("gone"), "left").select("name", F.coalesce("kept", "node").alias("node")), "labels")
-    at = lambda c: merges.select(F.col("gone").alias(c), F.col("kept").alias(f"{c}_kept"))
-    renamed = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_kept", "a").alias("x"), F.coalesce("b_kept", "b").alias("y")).filter("x <> y")
-    pairs = renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    packed = _packed(nodes, dimension, id_type)
+    renamed = lambda df, c: df.join(merges.select(F.col("gone").alias(c), "kept"), c, "left").withColumn(c, F.coalesce("kept", c)).drop("kept")
+    new_labels = stage(renamed(labels, "node"), "labels")
+    # old name, new name and new mean together: one join an end renames a link and brings its vector
+    now = renamed(nodes.select(F.col("node").alias("old"), "node"), "node").join(_packed(after, dimension, id_type), "node")
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -116,9 +124,12 @@ def _round(nodes: DataFrame, links: DataFrame, labels: DataFrame, how: Linkage,
                 keep = pa.array(np.flatnonzero(s >= how.least))
                 yield pa.record_batch({"a": batch["a"].take(keep), "b": batch["b"].take(keep), "similarity": pa.array(s[s >= how.least])})
 
-    both = pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("p")), "a").join(packed.select(F.col("node").alias("b"), F.col("packed").alias("q")), "b")
-    links = stage(both.select("a", "b", "p", "q").mapInArrow(average, f"a {id_type}, b {id_type}, similarity double"), "graph")
-    return nodes, links, labels, links.count()
+    links = ranked.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+    both = links.join(now.select(F.col("old").alias("x"), F.col("node").alias("a"), F.col("packed").alias("p")), "x").join(now.select(F.col("old").alias("y"), F.col("node").alias("b"), F.col("packed").alias("q")), "y").filter("a <> b")
+    left = both.select("a", "b", "p", "q").mapInArrow(average, f"a {id_type}, b {id_type}, similarity double")
+    new_ranked = stage(_ranked(left, how.links), "graph")
+    release(nodes, ranked, labels, merges)
+    return after, new_ranked, new_labels
 
 
 def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "vector", how: Linkage = Linkage(), dimension: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +138,12 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
     The first has (class, ids, vector, size, cluster), a row for each class of equal vectors, the second (id, class).
     ``cluster`` is the least id of one class of the cluster; a vector without similar ones is a cluster of its own.
 
-    A sparse graph of similar vectors (``forest_pairs``) says which clusters may merge. In every round all pairs
+    A sparse graph of similar vectors (``forest_links``) says which clusters may merge. In every round all pairs
     that are each other's best merge; the similarity of two clusters is the average over all pairs of their
     members, which is the product of their vector sums over the product of their sizes, so no pairs are kept. The
-    links are then renamed and united. Rounds are joins and grouped aggregates over links, written to the shared
-    folder; once no more than ``finish_links`` links are left, one task runs the same rounds on them in memory.
+    links are then renamed and united, and every cluster keeps those to its most similar others. Rounds are joins and
+    rankings over links, written to the shared folder; once no more than ``finish_links`` directed links are left, one
+    task runs the same rounds on them in memory.
 
     Vectors that are not usable belong to no cluster; an empty table gives none. Equal vectors share a cluster,
     and repeated rows count once. Other columns are not read, whatever their names.
@@ -143,27 +155,31 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
     id_type = classes.schema["name"].dataType.simpleString()
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     nodes = classes.select(F.col("name").alias("node"), "size", F.transform("vector", lambda x: (x.cast("double") / norm * F.col("size")).cast("float")).alias("total"))
-    links = stage(forest_pairs(classes.select("ids", "vector"), how.links, how.least, dimension, how.forest).select("a", "b", F.col("score").cast("double").alias("similarity")).filter(F.col("similarity") >= how.least), "graph")
+    found = forest_links(classes.select("ids", "vector"), how.links, how.least, dimension, how.forest).filter(F.col("score") >= how.least)
+    # a link has one score in all trees, so repeats share a rank
+    best = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= how.links)
+    ranked = stage(_ranked(best.select("a", "b", F.col("score").cast("double").alias("similarity")), how.links), "graph")
     labels = classes.select("name", F.col("name").alias("node"))
-    left = links.count()
     for _ in range(how.most_rounds):
+        left = ranked.count()
         if left <= how.finish_links:
             break
-        nodes, links, labels, left = _round(nodes, links, labels, how, dimension, id_type)
+        nodes, ranked, labels = _round(nodes, ranked, labels, how, dimension, id_type)
     if left:
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = ranked.select("node").union(ranked.select("other")).distinct()
         least = how.least
 
         def run(_: tuple, points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             points = points.sort_values("node", ignore_index=True)
             names = points["node"].to_numpy()
             total = np.array(points["total"].tolist(), np.float32).reshape(len(points), -1)
-            label = finish(total, points["size"].to_numpy(), np.searchsorted(names, edges["a"].to_numpy()), np.searchsorted(names, edges["b"].to_numpy()), edges["similarity"].to_numpy().astype(np.float64), least)
+            at = {name: i for i, name in enumerate(names)}
+            label = finish(total, points["size"].to_numpy(), edges["node"].map(at).to_numpy(np.int64), edges["other"].map(at).to_numpy(np.int64), edges["similarity"].to_numpy(np.float64), least)
             return pd.DataFrame({"node": names, "cluster": names[label]})
 
         # bounded: at most finish_links links and twice as many nodes
         one = nodes.join(ends, "node", "left_semi").select(F.lit(0).alias("g"), "node", "size", "total").groupBy("g")
-        last = one.cogroup(links.select(F.lit(0).alias("g"), "a", "b", "similarity").groupBy("g")).applyInPandas(run, f"node {id_type}, cluster {id_type}")
+        last = one.cogroup(ranked.select(F.lit(0).alias("g"), "node", "other", "similarity").groupBy("g")).applyInPandas(run, f"node {id_type}, cluster {id_type}")
         labels = labels.join(last, "node", "left").select("name", F.coalesce("cluster", "node").alias("cluster"))
     else:
         labels = labels.select("name", F.col("node").alias("cluster"))
