@@ -1 +1,64 @@
-"""Streaming of the vector-item store."""
+"""Structured Streaming: ingest in micro-batches, deduplication, windows, and keyed state with expiry."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.functions.keys import shard_of
+from vecloom.operators.items import problems
+from vecloom.operators.metrics import tumbling
+from vecloom.runtime import shared_dir
+
+
+def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """A Parquet table as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        # a stream reads folders; of this one, the file
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
+
+
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None, every: str | None = None) -> None:
+    """Run a stream's micro-batches through ``write``: all there is and then stop, or ``every`` interval until stopped."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def ingest(stream: DataFrame, path: str, dimension: int = 64, shards: int = 16, **how: Any) -> None:
+    """Validated, enriched append: invalid items are left out of their batch, the others get their shard. A batch writes its own
+    folder, so a repeated batch replaces itself and nothing is written twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        bad = problems(batch, dimension).select("id").distinct()
+        batch.join(bad, "id", "left_anti").withColumn("shard", shard_of(F.col("id"), shards)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run(stream, write, **how)
+
+
+def delivered_once(stream: DataFrame, late: str = "14 days") -> DataFrame:
+    """The log without repeated deliveries, as long as they come within ``late`` of each other."""
+    return stream.withColumn("arrived", F.col("ingested_at").cast("timestamp")).withWatermark("arrived", late).dropDuplicatesWithinWatermark(["seq"]).drop("arrived")
+
+
+def windowed(stream: DataFrame, width: str = "1 hour", late: str = "14 days") -> DataFrame:
+    """Tumbling counts, latency and success rate by operation."""
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).withColumn("op", F.lower(F.trim("op")))
+    return tumbling(timed, "at", width, "op", F.when(F.col("latency_ms") >= 0, F.col("latency_ms")), "success")
+
+
+def patterns(stream: DataFrame, idle: str = "24 hours", late: str = "14 days") -> DataFrame:
+    """(item_key, start, accesses, last): access patterns of every key. A pattern ends when its key is not accessed for ``idle``;
+    its state is dropped once the watermark has passed that end."""
+    timed = stream.filter(F.col("item_key").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    found = timed.groupBy(F.session_window("at", idle).alias("w"), "item_key").agg(F.count("*").alias("accesses"), F.max("at").alias("last"))
+    return found.select("item_key", F.col("w.start").alias("start"), "accesses", "last")
