@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm import sql
 from vecloom.llm.annforest import most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
 from vecloom.llm.linkage import clustered_codes, codebook, described_clusters, similarity_clusters
@@ -113,4 +114,4 @@ QUERIES = {
     "p9_repetition": p9_repetition,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = sql.ORACLE
