@@ -130,6 +130,14 @@ class Stretch:
             self.done = stop
 
 
+def bounded_sample(rows: DataFrame, most: int, dimension: int) -> np.ndarray:
+    """At most ``most`` unit vectors of (id, vector), chosen by a hash of the id: what planes and cells are fitted to."""
+    # a hash range of about four times the sample, so that no task sends much to choose it from
+    rate = int(min(1.0, 4 * most / max(1, rows.count())) * (1 << 20))
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= rate).orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toPandas()["vector"]
+    return _unit(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dimension)) if len(sample) else np.zeros((0, dimension))
+
+
 def forest_links(classes: DataFrame, k: int, least: float, dimension: int, forest: Forest = Forest()) -> DataFrame:
     """Links (a, b, score) from class names ``ids[0]`` to others: for every class and tree its k best within reach.
 
@@ -141,10 +149,7 @@ def forest_links(classes: DataFrame, k: int, least: float, dimension: int, fores
     """
     spark = classes.sparkSession
     first = classes.select(F.col("ids")[0].alias("id"), "vector")
-    # a hash range of about four times the sample, so that no task sends much to choose it from
-    rate = int(min(1.0, 4 * forest.planes_from / max(1, first.count())) * (1 << 20))
-    sample = first.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= rate).orderBy(F.xxhash64("id"), "id").limit(forest.planes_from).select("vector").toPandas()["vector"]
-    known = _unit(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dimension)) if len(sample) else np.zeros((0, dimension))
+    known = bounded_sample(first, forest.planes_from, dimension)
     shared = spark.sparkContext.broadcast(fit_planes(known, forest))
     id_type = first.schema["id"].dataType.simpleString()
     id_arrow = to_arrow_type(first.schema["id"].dataType)

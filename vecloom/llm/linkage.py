@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.annforest import Forest, _matrix, _unit, forest_links, vector_classes
-from vecloom.runtime import release, stage
+from vecloom.runtime import release, shuffle_partitions, stage
 
 
 @dataclass(frozen=True)
 class Linkage:
     """``least``: average similarity below which nothing merges. ``links``: links to its most similar others that every
-    cluster keeps in the sparse graph, in every round. ``finish_links``: size up to which the contracted graph (not the
-    data) is finished in one task."""
+    cluster keeps in the sparse graph, in every round. ``slab``: clusters that a task holds at a time. ``finish_links``: size
+    up to which the contracted graph (not the data) is finished in one task."""
 
     least: float = 0.3
     links: int = 3
     forest: Forest = Forest(trees=3, reach=128)
+    slab: int = 20_000
     finish_links: int = 200_000
     most_rounds: int = 200
 
@@ -39,25 +40,33 @@ def _reciprocal(a: np.ndarray, b: np.ndarray, similarity: np.ndarray, n: int) ->
     return np.flatnonzero((best[a] == rank) & (best[b] == rank))
 
 
-def finish(total: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: np.ndarray, least: float) -> np.ndarray:
-    """The rounds on a graph in memory: label (a node's number) of every node."""
-    total, size, n = total.astype(np.float64), size.astype(np.float64), len(size)
+def contract(total: np.ndarray, size: np.ndarray, own: int, a: np.ndarray, b: np.ndarray, similarity: np.ndarray, least: float) -> np.ndarray:
+    """Rounds on part of a graph in memory: label (a node's number) of each of the first ``own`` nodes.
+
+    ``total`` and ``size`` are changed to those of the labels. Nodes from ``own`` on belong to other tasks: they stay as they
+    are and merge with nobody, but a link to one keeps a node from merging with a less similar one. That is safe, since
+    average linkage never makes a merged cluster more similar to a third than both its parts were: whatever the other
+    tasks do, a pair that is reciprocal now stays so.
+    """
+    n = len(size)
     label = np.arange(n)
-    keep = similarity >= least
+    keep = (similarity >= least) & (a != b)
     a, b, similarity = np.minimum(a, b)[keep], np.maximum(a, b)[keep], similarity[keep]
     while len(a):
         merge = _reciprocal(a, b, similarity, n)
+        merge = merge[b[merge] < own]
+        if not len(merge):
+            break
         into = np.arange(n)
         into[b[merge]] = a[merge]
-        np.add.at(total, a[merge], total[b[merge]])
-        np.add.at(size, a[merge], size[b[merge]])
+        total[a[merge]] += total[b[merge]]
+        size[a[merge]] += size[b[merge]]
         label = into[label]
         changed = np.zeros(n, bool)
         changed[a[merge]] = True
         a, b = into[a], into[b]
         a, b = np.minimum(a, b), np.maximum(a, b)
-        key = a * n + b
-        _, first = np.unique(key, return_index=True)
+        _, first = np.unique(a * n + b, return_index=True)
         first = first[a[first] != b[first]]
         a, b, similarity = a[first], b[first], similarity[first]
         again = np.flatnonzero(changed[a] | changed[b])
@@ -66,25 +75,35 @@ def finish(total: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, si
             similarity[i] = (total[a[i]] * total[b[i]]).sum(axis=1) / (size[a[i]] * size[b[i]])
         keep = similarity >= least
         a, b, similarity = a[keep], b[keep], similarity[keep]
-    return label
+    return label[:own]
 
 
-def _packed(nodes: DataFrame, dimension: int, id_type: str) -> DataFrame:
-    """Nodes with their mean vector in 8-bit integers: (node, packed)."""
+def _mean_bytes(mean: np.ndarray) -> pa.Array:
+    """Mean vectors in 8-bit integers, each with its scale."""
+    scale = np.maximum(np.abs(mean).max(axis=1, keepdims=True), 1e-12).astype(np.float32) if len(mean) else np.zeros((0, 1), np.float32)
+    rows = np.concatenate([np.rint(mean / scale * 127).astype(np.int8).view(np.uint8), scale.view(np.uint8)], axis=1)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mean = _matrix(batch["total"], dimension) / batch["size"].to_numpy()[:, None]
-            scale = np.maximum(np.abs(mean).max(axis=1, keepdims=True), 1e-12).astype(np.float32) if len(mean) else np.zeros((0, 1), np.float32)
-            rows = np.concatenate([np.rint(mean / scale * 127).astype(np.int8).view(np.uint8), scale.view(np.uint8)], axis=1)
-            yield pa.record_batch({"node": batch["node"], "packed": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    return nodes.select("node", "size", "total").mapInArrow(run, f"node {id_type}, packed binary")
+def _means(column: list[bytes], dimension: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, dimension + 4)
+    return raw[:, :dimension].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, dimension:]).view(np.float32) / 127)
+
 
+def _floats(column: list[bytes], dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dimension)
 
-def _unpacked(column: pa.Array, dimension: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, dimension + 4)
-    return raw[:, :dimension].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, dimension:]).view(np.float32) / 127)
+
+def _start(classes: DataFrame, dimension: int, id_type: str) -> DataFrame:
+    """Every class as a node: (node, size, total, packed), total being its unit vector times its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, size = _unit(_matrix(batch["vector"], dimension)), batch["size"].to_numpy()
+            total = (x * size[:, None]).astype(np.float32)
+            yield pa.record_batch({"node": batch["name"], "size": batch["size"], "total": pa.array([t.tobytes() for t in total], pa.binary()), "packed": _mean_bytes(x)})
+
+    return classes.select("name", "size", "vector").mapInArrow(run, f"node {id_type}, size bigint, total binary, packed binary")
 
 
 def _ranked(links: DataFrame, keep: int) -> DataFrame:
@@ -97,39 +116,88 @@ def _ranked(links: DataFrame, keep: int) -> DataFrame:
     return ends.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
+def _parts(ranked: DataFrame, slab: int) -> DataFrame:
+    """(node, part): a division of the nodes that keeps together what follows the same chain of most similar clusters.
+
+    Pointers to the most similar other lead to a reciprocal pair; four steps of them are followed. Any division would be
+    correct, so parts larger than ``slab`` are simply cut by a hash.
+    """
+    best = ranked.filter("rank = 1").select("node", "other")
+    back = best.select(F.col("node").alias("other"), F.col("other").alias("back"))
+    step = stage(best.join(back, "other").select("node", F.when(F.col("back") == F.col("node"), F.least("node", "other")).otherwise(F.col("other")).alias("part")), "steps")
+    twice = lambda df: df.join(df.select(F.col("node").alias("part"), F.col("part").alias("next")), "part").select("node", F.col("next").alias("part"))
+    two = stage(twice(step), "steps")
+    four = twice(two)
+    large = four.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > slab)
+    cut = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / slab)))
+    out = stage(four.join(large, "part", "left").select("node", F.xxhash64("part", cut).alias("part")), "parts")
+    release(step, two)
+    return out
+
+
 def _round(nodes: DataFrame, ranked: DataFrame, labels: DataFrame, how: Linkage, dimension: int, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One distributed round."""
-    pair = ranked.filter("rank = 1").select(F.least("node", "other").alias("kept"), F.greatest("node", "other").alias("gone"))
-    merges = stage(pair.groupBy("kept", "gone").agg(F.count("*").alias("n")).filter("n = 2").select("kept", "gone"), "merges")
-    moved = nodes.join(merges, F.col("node") == F.col("gone")).select("kept", F.col("size").alias("more"), F.col("total").alias("added"))
-    rest = nodes.join(merges.select(F.col("gone").alias("node")), "node", "left_anti")
-    after = stage(
-        rest.join(moved, F.col("node") == F.col("kept"), "left").select(
-            "node",
-            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            F.when(F.col("added").isNull(), F.col("total")).otherwise(F.zip_with("total", "added", lambda x, y: x + y)).alias("total"),
-        ),
-        "nodes",
-    )
-    renamed = lambda df, c: df.join(merges.select(F.col("gone").alias(c), "kept"), c, "left").withColumn(c, F.coalesce("kept", c)).drop("kept")
-    new_labels = stage(renamed(labels, "node"), "labels")
+    """One distributed round: every task merges its part of the graph until no reciprocal pair is left in it."""
+    parts = _parts(ranked, how.slab)
+    points = nodes.join(parts, "node").select("part", "node", F.lit(0).alias("kind"), "size", "total", F.lit(None).cast(id_type).alias("other"), F.lit(None).cast("binary").alias("packed"), F.lit(0.0).alias("similarity"))
+    to = nodes.select(F.col("node").alias("other"), "packed")
+    links = ranked.join(parts, "node").join(to, "other").select("part", "node", F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("total"), "other", "packed", "similarity")
+    least, slab = how.least, how.slab
+
+    def work(rows: list[dict]) -> pa.RecordBatch:
+        own = [r for r in rows if r["kind"] == 0]
+        link = [r for r in rows if r["kind"] == 1]
+        place = {r["node"]: i for i, r in enumerate(own)}
+        n = len(own)
+        far: dict = {}
+        for r in link:
+            if r["other"] not in place and r["other"] not in far:
+                far[r["other"]] = (n + len(far), r["packed"])
+        # of a cluster elsewhere the mean is enough: as if it had one member
+        total = np.concatenate([_floats([r["total"] for r in own], dimension), _means([m for _, m in far.values()], dimension)]).astype(np.float64)
+        size = np.concatenate([np.array([r["size"] for r in own], np.float64), np.ones(len(far))])
+        a = np.array([place[r["node"]] for r in link], np.int64)
+        b = np.array([place[r["other"]] if r["other"] in place else far[r["other"]][0] for r in link], np.int64)
+        label = contract(total, size, n, a, b, np.array([r["similarity"] for r in link], np.float64), least)
+        kept = label == np.arange(n)
+        names = [r["node"] for r in own]
+        mean = (total[:n] / size[:n, None])[label]
+        return pa.record_batch({"old": pa.array(names), "node": pa.array([names[i] for i in label]), "size": pa.array(size[:n].astype(np.int64)), "total": pa.array([t.tobytes() if k else None for t, k in zip(total[:n].astype(np.float32), kept, strict=True)], pa.binary()), "packed": _mean_bytes(mean)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        seen = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if seen == slab:
+                        yield work(held)
+                        held, seen = [], 0
+                    seen += 1
+                held.append(row)
+        if held:
+            yield work(held)
+
+    together = points.unionByName(links).repartition(shuffle_partitions(nodes.sparkSession), "part").sortWithinPartitions("part", "node", "kind")
     # old name, new name and new mean together: one join an end renames a link and brings its vector
-    now = renamed(nodes.select(F.col("node").alias("old"), "node"), "node").join(_packed(after, dimension, id_type), "node")
+    now = stage(together.mapInArrow(run, f"old {id_type}, node {id_type}, size bigint, total binary, packed binary"), "now")
+    new_nodes = now.filter("old = node").select("node", "size", "total", "packed")
+    # clusters without links are done and only live on in the labels
+    new_labels = stage(labels.join(now.select(F.col("old").alias("node"), F.col("node").alias("new")), "node", "left").select("name", F.coalesce("new", "node").alias("node")), "labels")
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
                 batch = whole.slice(start, 5000)
-                s = (_unpacked(batch["p"], dimension) * _unpacked(batch["q"], dimension)).sum(axis=1, dtype=np.float64)
-                keep = pa.array(np.flatnonzero(s >= how.least))
-                yield pa.record_batch({"a": batch["a"].take(keep), "b": batch["b"].take(keep), "similarity": pa.array(s[s >= how.least])})
+                s = (_means(batch["p"].to_pylist(), dimension) * _means(batch["q"].to_pylist(), dimension)).sum(axis=1, dtype=np.float64)
+                keep = pa.array(np.flatnonzero(s >= least))
+                yield pa.record_batch({"a": batch["a"].take(keep), "b": batch["b"].take(keep), "similarity": pa.array(s[s >= least])})
 
-    links = ranked.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-    both = links.join(now.select(F.col("old").alias("x"), F.col("node").alias("a"), F.col("packed").alias("p")), "x").join(now.select(F.col("old").alias("y"), F.col("node").alias("b"), F.col("packed").alias("q")), "y").filter("a <> b")
-    left = both.select("a", "b", "p", "q").mapInArrow(average, f"a {id_type}, b {id_type}, similarity double")
+    pairs = ranked.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+    renamed = pairs.join(now.select(F.col("old").alias("x"), F.col("node").alias("a"), F.col("packed").alias("p")), "x").join(now.select(F.col("old").alias("y"), F.col("node").alias("b"), F.col("packed").alias("q")), "y").filter("a <> b")
+    left = renamed.select("a", "b", "p", "q").mapInArrow(average, f"a {id_type}, b {id_type}, similarity double")
     new_ranked = stage(_ranked(left, how.links), "graph")
-    release(nodes, ranked, labels, merges)
-    return after, new_ranked, new_labels
+    release(ranked, labels, parts)
+    return new_nodes, new_ranked, new_labels
 
 
 def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "vector", how: Linkage = Linkage(), dimension: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +208,11 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
 
     A sparse graph of similar vectors (``forest_links``) says which clusters may merge. In every round all pairs
     that are each other's best merge; the similarity of two clusters is the average over all pairs of their
-    members, which is the product of their vector sums over the product of their sizes, so no pairs are kept. The
-    links are then renamed and united, and every cluster keeps those to its most similar others. Rounds are joins and
-    rankings over links, written to the shared folder; once no more than ``finish_links`` directed links are left, one
-    task runs the same rounds on them in memory.
+    members, which is the product of their vector sums over the product of their sizes, so no pairs are kept. Tasks hold
+    parts of the graph and merge in rounds until no reciprocal pair is left within a part (``contract`` says why that
+    is the same); then links are renamed and united, every cluster keeps those to its most similar others, and the graph
+    is divided anew. All of it is joins and rankings over links, written to the shared folder; once no more than
+    ``finish_links`` directed links are left, one task holds them all.
 
     Vectors that are not usable belong to no cluster; an empty table gives none. Equal vectors share a cluster,
     and repeated rows count once. Other columns are not read, whatever their names.
@@ -153,8 +222,7 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
     sizes = members.groupBy("class").agg(F.count("*").alias("size"))
     classes = stage(classes.join(sizes, "class").withColumn("name", F.col("ids")[0]), "classes")
     id_type = classes.schema["name"].dataType.simpleString()
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    nodes = classes.select(F.col("name").alias("node"), "size", F.transform("vector", lambda x: (x.cast("double") / norm * F.col("size")).cast("float")).alias("total"))
+    nodes = stage(_start(classes, dimension, id_type), "nodes")
     found = forest_links(classes.select("ids", "vector"), how.links, how.least, dimension, how.forest).filter(F.col("score") >= how.least)
     # a link has one score in all trees, so repeats share a rank
     best = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= how.links)
@@ -172,9 +240,9 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
         def run(_: tuple, points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             points = points.sort_values("node", ignore_index=True)
             names = points["node"].to_numpy()
-            total = np.array(points["total"].tolist(), np.float32).reshape(len(points), -1)
             at = {name: i for i, name in enumerate(names)}
-            label = finish(total, points["size"].to_numpy(), edges["node"].map(at).to_numpy(np.int64), edges["other"].map(at).to_numpy(np.int64), edges["similarity"].to_numpy(np.float64), least)
+            total = _floats(points["total"].tolist(), dimension).astype(np.float64)
+            label = contract(total, points["size"].to_numpy(np.float64).copy(), len(names), edges["node"].map(at).to_numpy(np.int64), edges["other"].map(at).to_numpy(np.int64), edges["similarity"].to_numpy(np.float64), least)
             return pd.DataFrame({"node": names, "cluster": names[label]})
 
         # bounded: at most finish_links links and twice as many nodes
