@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecloom.functions.keys import fnv1a32
 from vecloom.operators.knn import knn, matrix
@@ -110,6 +111,7 @@ def layered_search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "
     dimension = len(asked[0][1]) if asked else 0
     source = items.join(levels(items, id_col).withColumnRenamed("id", id_col), id_col).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), "level").filter(F.size("vector") == dimension)
     kind = source.schema["id"].dataType.simpleString()
+    arrow = to_arrow_type(source.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
@@ -119,7 +121,7 @@ def layered_search(items: DataFrame, queries: DataFrame, k: int, id_col: str = "
                 graph = LayeredGraph(matrix(batch["vector"]), batch["level"].to_numpy())
                 ids = batch["id"].to_pylist()
                 hits = [(name, ids[i], d) for name, row in zip(names, q, strict=True) for d, i in graph.search(row, k, max(beam, 2 * k))]
-                yield pa.record_batch({"query_id": pa.array([h[0] for h in hits]), "item_id": pa.array([h[1] for h in hits]), "distance": pa.array([h[2] for h in hits], pa.float64())})
+                yield pa.record_batch({"query_id": pa.array([h[0] for h in hits], arrow), "item_id": pa.array([h[1] for h in hits], arrow), "distance": pa.array([h[2] for h in hits], pa.float64())})
 
     if not asked:
         return items.sparkSession.createDataFrame([], f"query_id {kind}, item_id {kind}, rank bigint, distance double")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 METRICS = ("l2sq", "cosine", "dot", "auto")
 
@@ -53,6 +54,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "l2sq
         metric = "cosine" if all_normalized(queries, vector_col) and all_normalized(items, vector_col) else "l2sq"
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null").orderBy("id")
     kind = asked.schema["id"].dataType.simpleString()
+    arrow = to_arrow_type(asked.schema["id"].dataType)
     source = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null")
 
     def scan(ids: list, q: np.ndarray) -> DataFrame:
@@ -82,7 +84,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "l2sq
                     if k is None:
                         rows, columns = np.nonzero(d <= most_distance)
                         if len(rows):
-                            yield pa.record_batch({"query_id": pa.array([names[r] for r in rows]), "item_id": pa.array([own[base + c] for c in columns]), "distance": pa.array(d[rows, columns])})
+                            yield pa.record_batch({"query_id": pa.array([names[r] for r in rows], arrow), "item_id": pa.array([own[base + c] for c in columns], arrow), "distance": pa.array(d[rows, columns])})
                         base = len(own)
                         continue
                     all_d = np.concatenate([best_d, d], axis=1)
@@ -100,7 +102,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "l2sq
                 if most_distance is not None:
                     order = [o for o in order if o[0] <= most_distance]
                 if order:
-                    yield pa.record_batch({"query_id": pa.array([name] * len(order)), "item_id": pa.array([o[1] for o in order]), "distance": pa.array([o[0] for o in order], pa.float64())})
+                    yield pa.record_batch({"query_id": pa.array([name] * len(order), arrow), "item_id": pa.array([o[1] for o in order], arrow), "distance": pa.array([o[0] for o in order], pa.float64())})
 
         return source.mapInArrow(run, f"query_id {kind}, item_id {kind}, distance double")
 

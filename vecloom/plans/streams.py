@@ -51,5 +51,5 @@ ORACLE = {
     "stream_ingest": f"with {_PROBLEMS} select id, {_FNV} % 16 as shard from store_items where id not in (select id from problems)",
     "stream_dedup": "select distinct seq from access_log",
     "stream_windows": "select lower(trim(op)) as op, time_bucket(interval 1 hour, ts) as start, count(*) as n, round(avg(case when latency_ms >= 0 then latency_ms end), 6) as latency, round(avg(case when success then 1.0::double when not success then 0.0::double end), 6) as rate from access_log group by 1, 2",
-    "stream_patterns": "with g as (select item_key, ts, case when ts - lag(ts) over (partition by item_key order by ts) < interval 24 hours then 0 else 1 end as fresh from access_log where item_key is not null), s as (select item_key, ts, sum(fresh) over (partition by item_key order by ts rows unbounded preceding) as n from g) select item_key, min(ts) as start, count(*) as accesses, max(ts) as last from s group by item_key, n",
+    "stream_patterns": "with g as (select item_key, ts, case when ts - lag(ts) over (partition by item_key order by ts) < interval 24 hours then 0 else 1 end as fresh from access_log where item_key is not null), s as (select item_key, ts, sum(fresh) over (partition by item_key order by ts, fresh desc rows unbounded preceding) as n from g) select item_key, min(ts) as start, count(*) as accesses, max(ts) as last from s group by item_key, n",
 }
