@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecloom.llm.annforest import Forest, _matrix, _unit, forest_links, vector_classes
 from vecloom.runtime import release, shuffle_partitions, stage
@@ -142,6 +143,7 @@ def _round(nodes: DataFrame, ranked: DataFrame, labels: DataFrame, how: Linkage,
     to = nodes.select(F.col("node").alias("other"), "packed")
     links = ranked.join(parts, "node").join(to, "other").select("part", "node", F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("total"), "other", "packed", "similarity")
     least, slab = how.least, how.slab
+    arrow = to_arrow_type(nodes.schema["node"].dataType)
 
     def work(rows: list[dict]) -> pa.RecordBatch:
         own = [r for r in rows if r["kind"] == 0]
@@ -161,7 +163,7 @@ def _round(nodes: DataFrame, ranked: DataFrame, labels: DataFrame, how: Linkage,
         kept = label == np.arange(n)
         names = [r["node"] for r in own]
         mean = (total[:n] / size[:n, None])[label]
-        return pa.record_batch({"old": pa.array(names), "node": pa.array([names[i] for i in label]), "size": pa.array(size[:n].astype(np.int64)), "total": pa.array([t.tobytes() if k else None for t, k in zip(total[:n].astype(np.float32), kept, strict=True)], pa.binary()), "packed": _mean_bytes(mean)})
+        return pa.record_batch({"old": pa.array(names, arrow), "node": pa.array([names[i] for i in label], arrow), "size": pa.array(size[:n].astype(np.int64)), "total": pa.array([t.tobytes() if k else None for t, k in zip(total[:n].astype(np.float32), kept, strict=True)], pa.binary()), "packed": _mean_bytes(mean)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -258,11 +260,15 @@ def cluster_means(classes: DataFrame, dimension: int = 64) -> DataFrame:
     """(cluster, size, total): number of members and sum of unit vectors, summed within tasks before the shuffle."""
     id_type = classes.schema["cluster"].dataType.simpleString()
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow = to_arrow_type(classes.schema["cluster"].dataType)
+
+    def sums(batches: Iterator[pa.RecordBatch], of_units: bool) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             weight = batch["size"].to_numpy()
             x = _matrix(batch["total"], dimension).astype(np.float64)
+            if of_units:
+                x = _unit(x) * weight[:, None]
             names, of = np.unique(batch["cluster"].to_numpy(zero_copy_only=False), return_inverse=True)
             total = np.zeros((len(names), dimension))
             np.add.at(total, of, x)
@@ -278,12 +284,12 @@ def cluster_means(classes: DataFrame, dimension: int = 64) -> DataFrame:
     def out(held: dict) -> Iterator[pa.RecordBatch]:
         if held:
             values = np.concatenate([t for _, t in held.values()]).astype(np.float64)
-            yield pa.record_batch({"cluster": pa.array(list(held)), "size": pa.array([n for n, _ in held.values()], pa.int64()), "total": pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dimension, dtype=np.int32)), pa.array(values))})
+            yield pa.record_batch({"cluster": pa.array(list(held), arrow), "size": pa.array([n for n, _ in held.values()], pa.int64()), "total": pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dimension, dtype=np.int32)), pa.array(values))})
 
     schema = f"cluster {id_type}, size bigint, total array<double>"
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = classes.select("cluster", "size", F.transform("vector", lambda x: x.cast("double") / norm * F.col("size")).alias("total"))
-    return rows.mapInArrow(sums, schema).repartition("cluster").mapInArrow(sums, schema)
+    rows = classes.select("cluster", "size", F.col("vector").alias("total"))
+    within = rows.mapInArrow(lambda batches: sums(batches, True), schema)
+    return within.repartition("cluster").mapInArrow(lambda batches: sums(batches, False), schema)
 
 
 def codebook(centroids: DataFrame, quantizer: str = "standard", version: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
