@@ -33,6 +33,7 @@ IMPLIED_END = {
     "tbody": {"tr", "td", "th", "thead", "tbody"},
     "tfoot": {"tr", "td", "th", "thead", "tbody"},
 }
+OPTIONAL_END = frozenset(IMPLIED_END) | {"p", "thead"}
 SCOPE = frozenset("ul ol dl table select html body menu".split())
 COMMANDS = frozenset(
     "alpha beta gamma delta epsilon varepsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Phi Psi Omega "
@@ -167,7 +168,7 @@ class Reader:
                 return False
         before = text[m.start() - 1] if m.start() else " "
         # a type parameter looks like a start tag: it follows a name at once and is never closed
-        return not (not closing and not attributes.strip() and name not in VOID and (before.isalnum() or before == "_") and not re.search(rf"</{name}\s*>", text[m.end() :], re.I))
+        return not (not closing and not attributes.strip() and name not in VOID and name not in OPTIONAL_END and (before.isalnum() or before == "_") and not re.search(rf"</{name}\s*>", text[m.end() :], re.I))
 
     def _html(self, text: str) -> list[Block] | None:
         root = Node("", {})
@@ -282,7 +283,7 @@ class Reader:
                     if child.strip():
                         items.append(Block(child.strip(), False))
                 elif not self._hidden(child):
-                    items.append(Block(_indented(self._text(child), f"{number}. " if tag == "ol" else "- "), False))
+                    items.append(Block(_indented(_join(self._blocks(child.children, depth + 1)).strip(), f"{number}. " if tag == "ol" else "- "), False))
                     number += 1
             return [Block(_join(items), depth == 0)] if items else []
         if tag == "table":
