@@ -283,7 +283,10 @@ class Reader:
                     if child.strip():
                         items.append(Block(child.strip(), False))
                 elif not self._hidden(child):
-                    items.append(Block(_indented(_join(self._blocks(child.children, depth + 1)).strip(), f"{number}. " if tag == "ol" else "- "), False))
+                    inner = self._blocks(child.children, depth + 1)
+                    if not any(isinstance(c, Node) and c.tag == "p" for c in child.children):
+                        inner = [Block(x.text, False) for x in inner]
+                    items.append(Block(_indented(_join(inner).strip(), f"{number}. " if tag == "ol" else "- "), False))
                     number += 1
             return [Block(_join(items), depth == 0)] if items else []
         if tag == "table":
