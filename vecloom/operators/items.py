@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from vecloom.functions.keys import valid_type
 from vecloom.operators.knn import knn
+from vecloom.runtime import shuffle_partitions, stage
 
 ITEM_SCHEMA = "id string, content struct<type:string,data:string,format:map<string,string>>, vector array<float>, metadata string, created_at bigint, expires_at bigint"
 
@@ -44,14 +45,14 @@ def recent(items: DataFrame, hours: int = 24, limit: int = 1000) -> DataFrame:
     return items.join(F.broadcast(newest), since).drop("newest").orderBy(F.desc("created_at"), "id").limit(limit)
 
 
-def numbered(items: DataFrame, order: list[str], column: str = "idx", buckets: int = 256) -> DataFrame:
+def numbered(items: DataFrame, order: list[str], column: str = "idx") -> DataFrame:
     """Dense row numbers from 0 in the order given, without one task seeing all rows.
 
     Rows are range-partitioned and sorted; partition sizes give every partition its first number.
     """
-    spark = items.sparkSession
-    sorted_rows = items.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    keyed = sorted_rows.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * (1 << 33)))
+    sorted_rows = items.repartitionByRange(shuffle_partitions(items.sparkSession), *order).sortWithinPartitions(*order)
+    # staged, since both uses below must see the same partitions
+    keyed = stage(sorted_rows.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * (1 << 33))), "numbered")
     sizes = keyed.groupBy("_p").agg(F.count("*").alias("_s"))
     # one row a partition
     first = sizes.withColumn("_first", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_first")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +86,7 @@ def write_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid items are written and read again; what should have been written and is not there."""
     rows = _store(spark, sf_dir)
     good = rows.join(items.problems(rows).select("id").distinct(), "id", "left_anti")
-    path = f"{shared_dir(spark)}/written-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
     written = items.write_batch(good, path)
     return items.unwritten(good, path).agg(F.count("*").alias("missing")).withColumn("written", F.lit(written).cast("bigint"))
 

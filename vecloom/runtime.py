@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, as the session names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (local tests).
+    A folder of our own is set only where the session names none and runs on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vecloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
