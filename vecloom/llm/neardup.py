@@ -46,25 +46,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
 
     def __init__(self, size: int, least_words: int) -> None:
-        self.size, self.least_words, self.known = size, max(least_words, size), {}
+        self.size, self.least_words, self.known = size, max(least_words, size), _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         found = words(text or "")
         if len(found) < self.least_words:
             return None
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        hashes = np.empty(len(found), np.uint64)
-        for i, w in enumerate(found):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[i] = h
+        if len(self.known) > 500_000:
+            self.known.clear()
+        hashes = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         n = len(found) - self.size + 1
         h = np.zeros(n, np.uint64)
         for k in range(self.size):
