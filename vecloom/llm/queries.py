@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import sql
-from vecloom.llm.annforest import most_similar, similar_pairs
+from vecloom.llm.annforest import Forest, most_similar, similar_pairs
 from vecloom.llm.chunking import oversized, split_items
 from vecloom.llm.linkage import clustered_codes, codebook, described_clusters, similarity_clusters
 from vecloom.llm.markup import clean_texts, markup_kinds
@@ -38,8 +38,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar items of every item, whatever their similarity."""
-    return most_similar(table(spark, sf_dir, "store_items"))
+    """The five most similar items of every item, whatever their similarity.
+
+    Most of them are hardly more similar than other members of a cluster, so the walk reaches further.
+    """
+    return most_similar(table(spark, sf_dir, "store_items"), forest=Forest(trees=14, reach=2048))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
