@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import keys
 from vecloom.operators import cache, items
-from vecloom.runtime import shared_dir
+from vecloom.runtime import scratch
 from vecloom.sources import table
 
 PROBE = "note"
@@ -86,7 +84,7 @@ def write_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid items are written and read again; what should have been written and is not there."""
     rows = _store(spark, sf_dir)
     good = rows.join(items.problems(rows).select("id").distinct(), "id", "left_anti")
-    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    path = scratch(spark, "written")
     written = items.write_batch(good, path)
     return items.unwritten(good, path).agg(F.count("*").alias("missing")).withColumn("written", F.lit(written).cast("bigint"))
 

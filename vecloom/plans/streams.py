@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom import streaming
 from vecloom.plans.store import _PROBLEMS
-from vecloom.runtime import shared_dir
-
-
-def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+from vecloom.runtime import scratch
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark)
+    path = scratch(spark, "streamed")
     streaming.ingest(streaming.source(spark, f"{sf_dir}/store_items.parquet"), path)
     return spark.read.parquet(path).select("id", "shard")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark)
+    path = scratch(spark, "streamed")
     once = streaming.delivered_once(streaming.source(spark, f"{sf_dir}/access_log.parquet"))
     streaming.run(once.select("seq"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
     return spark.read.parquet(path).select("seq")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark)
+    path = scratch(spark, "streamed")
     counted = streaming.windowed(streaming.source(spark, f"{sf_dir}/access_log.parquet"))
     # complete mode gives the whole table with every batch; the last one stays
     streaming.run(counted, lambda batch, n: batch.write.mode("overwrite").parquet(path), "complete")
@@ -38,7 +32,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark)
+    path = scratch(spark, "streamed")
     seen = streaming.patterns(streaming.source(spark, f"{sf_dir}/access_log.parquet"))
     streaming.run(seen, lambda batch, n: batch.write.mode("overwrite").parquet(path), "complete")
     return spark.read.parquet(path).select("item_key", F.col("start").cast("timestamp_ntz").alias("start"), "accesses", F.col("last").cast("timestamp_ntz").alias("last"))

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # deletion on exit takes only what is there when it is asked for
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -36,11 +47,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = scratch(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged

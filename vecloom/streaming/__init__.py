@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.keys import shard_of
 from vecloom.operators.items import problems
 from vecloom.operators.metrics import tumbling
-from vecloom.runtime import shared_dir
+from vecloom.runtime import scratch
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -29,7 +28,7 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFra
 def run(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None, every: str | None = None) -> None:
     """Run a stream's micro-batches through ``write``: all there is and then stop, or ``every`` interval until stopped."""
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or scratch(spark, "stream"))
     query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
     query.awaitTermination()
 
