@@ -121,16 +121,16 @@ def _parts(ranked: DataFrame, slab: int) -> DataFrame:
     """(node, part): a division of the nodes that keeps together what follows the same chain of most similar clusters.
 
     Pointers to the most similar other lead to a reciprocal pair; four steps of them are followed. Any division would be
-    correct, so parts larger than ``slab`` are simply cut by a hash.
+    correct, so parts larger than ``slab`` are cut by a hash of the place two steps on, which keeps reciprocal pairs whole.
     """
     best = ranked.filter("rank = 1").select("node", "other")
     back = best.select(F.col("node").alias("other"), F.col("other").alias("back"))
     step = stage(best.join(back, "other").select("node", F.when(F.col("back") == F.col("node"), F.least("node", "other")).otherwise(F.col("other")).alias("part")), "steps")
     twice = lambda df: df.join(df.select(F.col("node").alias("part"), F.col("part").alias("next")), "part").select("node", F.col("next").alias("part"))
     two = stage(twice(step), "steps")
-    four = twice(two)
+    four = two.join(two.select(F.col("node").alias("part"), F.col("part").alias("next")), "part").select("node", F.col("part").alias("near"), F.col("next").alias("part"))
     large = four.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > slab)
-    cut = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / slab)))
+    cut = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("near"), F.ceil(F.col("n") / slab)))
     out = stage(four.join(large, "part", "left").select("node", F.xxhash64("part", cut).alias("part")), "parts")
     release(step, two)
     return out
@@ -235,6 +235,8 @@ def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "ve
         if left <= how.finish_links:
             break
         nodes, ranked, labels = _round(nodes, ranked, labels, how, dimension, id_type)
+    else:
+        raise RuntimeError(f"after {how.most_rounds} rounds {left} links are left")
     if left:
         ends = ranked.select("node").union(ranked.select("other")).distinct()
         least = how.least
