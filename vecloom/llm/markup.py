@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,17 +49,21 @@ ENVIRONMENT_CODE = frozenset("verbatim lstlisting minted".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
-_HTML_TOKEN = re.compile(r"<!--.*?-->|<![Dd][Oo][Cc][Tt][Yy][Pp][Ee][^<>]*>|" + _TAG.pattern, re.S)
+_NO_COMMENT = re.compile(r"<![Dd][Oo][Cc][Tt][Yy][Pp][Ee][^<>]*>|" + _TAG.pattern, re.S)
+_HTML_TOKEN = re.compile(r"<!--.*?-->|" + _NO_COMMENT.pattern, re.S)
+_END_TAG = re.compile(r"</([A-Za-z][A-Za-z0-9]*)\s*>")
+#: Elements within elements up to this depth; what is deeper stays at it.
+_DEPTH = 100
 _REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
-_FENCE = re.compile(r"^[ ]{0,3}(```+|~~~+)[ \t]*([\w+-]*)[^\n`]*\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$)", re.M | re.S)
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^`~\n]*)$")
 _CODE_SPAN = re.compile(r"(?<![`\\])`([^`\n]+)`(?!`)")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 _UNDERLINE = re.compile(r"^ {0,3}(={3,}|-{3,})[ \t]*$")
 _WIKI_HEADING = re.compile(r"^(={2,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*\1[ \t]*$")
 _BULLET = re.compile(r"^([ \t]*)([-*+])[ \t]+(?:\[([ xX])\][ \t]+)?(\S.*)$")
 _NUMBER = re.compile(r"^([ \t]*)(\d{1,9})([.)])[ \t]+(\S.*)$")
-_QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
+_QUOTE = re.compile(r"^ {0,3}>(?:[ \t]?>)*+[ \t]?(.*)$")
 _TABLE_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$")
 _IMAGE = re.compile(r"!\[([^\[\]\n]*)\]\(([^()\s]+)(?:[ \t]+\"[^\"\n]*\")?\)")
 _LINK = re.compile(r"(?<!!)\[([^\[\]\n]+)\]\(([^()\s]+)(?:[ \t]+\"[^\"\n]*\")?\)")
@@ -74,7 +80,7 @@ _WIKI_STRONG = re.compile(r"'''''(?=\S)(.+?)'''''|'''(?=\S)(.+?)'''(?!')|''(?=[^
 _TEMPLATE = re.compile(r"\{\{([^{}|\n]+)((?:\|[^{}|]*)*)\}\}")
 _WIKI_TABLE = re.compile(r"^\{\|[^\n]*\n(.*?)^\|\}[ \t]*$", re.M | re.S)
 
-_ENVIRONMENT = re.compile(r"\\begin\{([A-Za-z]+)(\*?)\}((?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?)(.*?)\\end\{\1\2\}", re.S)
+_BEGIN = re.compile(r"\\begin\{([A-Za-z]+)(\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 _DISPLAY = re.compile(r"\$\$(?=\s*[^\s$])([^$]{1,2000}?)\$\$|\\\[(.{1,2000}?)\\\]", re.S)
 _INLINE_MATH = re.compile(r"\\\((.{1,500}?)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]{1,300}?)(?<=\S)\$(?![\w$])", re.S)
 _MATH_SIGN = re.compile(r"[\\^_={}+<>|]|^[A-Za-z]$")
@@ -133,7 +139,8 @@ class Reader:
         text = text.replace("\x00", "").replace("\r\n", "\n")
         if not _ANY_SIGN.search(text):
             return text
-        text = _FENCE.sub(self._fence, text)
+        if "```" in text or "~~~" in text:
+            text = self._fences(text)
         text = _CODE_SPAN.sub(self._span, text)
         blocks = self._html(text) if "<" in text else None
         return self._restore(_join(blocks if blocks is not None else self._flow(text)).strip("\n"))
@@ -149,9 +156,27 @@ class Reader:
             text = _PLACE.sub(lambda m: self.kept[int(m[1])].text, text)
         return text
 
-    def _fence(self, m: re.Match) -> str:
-        self.found["markdown"] += 1
-        return self._keep(Block(_indented(m[3].rstrip("\n"), "    "))) + "\n"
+    def _fences(self, text: str) -> str:
+        """Fenced code, from its opening line to the next line of a fence alone; without one it is no fence."""
+        lines = text.split("\n")
+        fences = {i: m for i, line in enumerate(lines) if (m := _FENCE.match(line))}
+        ends = {c: [i for i, m in fences.items() if m[1][0] == c and not m[2].strip()] for c in "`~"}
+        out: list[str] = []
+        i = 0
+        for start, m in fences.items():
+            if start < i:
+                continue
+            closing = ends[m[1][0]]
+            at = bisect_right(closing, start)
+            while at < len(closing) and len(fences[closing[at]][1]) < len(m[1]):
+                at += 1
+            if at == len(closing):
+                continue
+            self.found["markdown"] += 1
+            out.extend(lines[i:start])
+            out.append(self._keep(Block(_indented("\n".join(lines[start + 1 : closing[at]]), "    "))))
+            i = closing[at] + 1
+        return "\n".join(out + lines[i:])
 
     def _span(self, m: re.Match) -> str:
         self.found["markdown"] += 1
@@ -159,7 +184,7 @@ class Reader:
 
     # HTML: a tree with implied end tags, then its visible part
 
-    def _is_tag(self, m: re.Match, text: str) -> bool:
+    def _is_tag(self, m: re.Match, text: str, ends: dict[str, int]) -> bool:
         closing, name, attributes = m[1], m[2].lower(), m[3]
         if name not in ELEMENTS:
             return False
@@ -168,7 +193,7 @@ class Reader:
                 return False
         before = text[m.start() - 1] if m.start() else " "
         # a type parameter looks like a start tag: it follows a name at once and is never closed
-        return not (not closing and not attributes.strip() and name not in VOID and name not in OPTIONAL_END and (before.isalnum() or before == "_") and not re.search(rf"</{name}\s*>", text[m.end() :], re.I))
+        return not (not closing and not attributes.strip() and name not in VOID and name not in OPTIONAL_END and (before.isalnum() or before == "_") and ends.get(name, -1) < m.end())
 
     def _html(self, text: str) -> list[Block] | None:
         root = Node("", {})
@@ -176,8 +201,11 @@ class Reader:
         at = 0
         raw: str | None = None
         seen = 0
-        for m in _HTML_TOKEN.finditer(text):
-            if m[2] is not None and not self._is_tag(m, text):
+        ends_at = {m[1].lower(): m.start() for m in _END_TAG.finditer(text)}
+        # behind the last end of a comment, nothing begins one
+        comments = text.rfind("-->") + 3 if "-->" in text else 0
+        for m in chain(_HTML_TOKEN.finditer(text, 0, comments), _NO_COMMENT.finditer(text, comments)):
+            if m[2] is not None and not self._is_tag(m, text, ends_at):
                 continue
             if raw is not None and not (m[2] and m[1] and m[2].lower() == raw):
                 continue
@@ -198,7 +226,7 @@ class Reader:
                         break
                 continue
             ends = IMPLIED_END.get(name, set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if ends else ():
                 if stack[i].tag in ends:
                     del stack[i:]
                 elif stack[i].tag in SCOPE:
@@ -207,7 +235,7 @@ class Reader:
                 stack.pop()
             node = Node(name, {a[1].lower(): (a[2] or "").strip("\"'") for a in _ATTRIBUTE.finditer(m[3])})
             stack[-1].children.append(node)
-            if name not in VOID and not m[4]:
+            if name not in VOID and not m[4] and len(stack) < _DEPTH:
                 stack.append(node)
                 raw = name if name in ("script", "style", "textarea") else None
         self.found["html"] += seen
@@ -328,11 +356,11 @@ class Reader:
 
     # Markdown, wiki and LaTeX, by lines
 
-    def _flow(self, text: str) -> list[Block]:
+    def _flow(self, text: str, depth: int = 0) -> list[Block]:
         if "\\" in text or "$$" in text:
-            text = _ENVIRONMENT.sub(lambda m: "\n" + self._environment(m) + "\n", text)
+            text = self._environments(text, depth)
             text = _DISPLAY.sub(self._display, text)
-        if "{|" in text:
+        if "{|" in text and "|}" in text:
             text = _WIKI_TABLE.sub(self._wiki_table, text)
         lines = text.split("\n")
         out: list[Block] = []
@@ -394,7 +422,7 @@ class Reader:
                     i += 1
                 i -= 1
                 self.found["markdown"] += 1
-                out.append(Block(_indented(_join(self._flow("\n".join(quoted))), "  ")))
+                out.append(Block(_indented(_join(self._flow("\n".join(quoted), depth + 1)), "  ")))
             elif _BULLET.match(line) or self._numbered(lines, i):
                 flush()
                 items = []
@@ -431,8 +459,21 @@ class Reader:
         self.found["latex"] += 1
         return "\n" + self._keep(Block(source)) + "\n"
 
-    def _environment(self, m: re.Match) -> str:
-        name, body = m[1], m[4]
+    def _environments(self, text: str, depth: int) -> str:
+        """Environments from their begin to the first end of that name; deeper than the limit they stay as text."""
+        out: list[str] = []
+        at = 0
+        last: dict[str, int] = {}
+        for m in _BEGIN.finditer(text) if depth < _DEPTH // 4 else ():
+            end = f"\\end{{{m[1]}{m[2]}}}"
+            if m.start() < at or last.setdefault(end, text.rfind(end)) < m.end():
+                continue
+            stop = text.index(end, m.end())
+            out += [text[at : m.start()], "\n", self._environment(m[1], text[m.end() : stop], depth), "\n"]
+            at = stop + len(end)
+        return "".join([*out, text[at:]])
+
+    def _environment(self, name: str, body: str, depth: int) -> str:
         self.found["latex"] += 1
         if name in ENVIRONMENT_CODE:
             return self._keep(Block(_indented(body.strip("\n"), "    ")))
@@ -441,11 +482,11 @@ class Reader:
         if name in ENVIRONMENT_LISTS:
             parts = re.split(r"\\item\b(?:\[[^\]\n]*\])?", body)[1:]
             marks = [f"{k}. " if name == "enumerate" else "- " for k in range(1, len(parts) + 1)]
-            return self._keep(Block(_join([Block(_indented(_join(self._flow(p.strip())), mark), False) for p, mark in zip(parts, marks, strict=True)])))
+            return self._keep(Block(_join([Block(_indented(_join(self._flow(p.strip(), depth + 1)), mark), False) for p, mark in zip(parts, marks, strict=True)])))
         if name in ENVIRONMENT_TABLES:
             rows = [r for r in re.split(r"\\\\(?:\[[^\]\n]*\])?|\\hline|\\(?:top|mid|bottom)rule", body) if r.strip()]
             return self._keep(Block(_aligned([[self._inline(c) for c in re.split(r"(?<!\\)&", r)] for r in rows])))
-        return self._keep(Block(_join(self._flow(body.strip()))))
+        return self._keep(Block(_join(self._flow(body.strip(), depth + 1))))
 
     def _wiki_table(self, m: re.Match) -> str:
         self.found["wiki"] += 1
