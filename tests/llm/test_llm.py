@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +213,13 @@ def test_any_text_can_be_read(text):
     assert set(kinds) <= {"html", "markdown", "wiki", "latex"}
 
 
+@pytest.mark.parametrize("part", ["<div>", "<b>", "> ", "*", "~", "```a\n", "{|\n", "<!--", "[[a|", "\\begin{a}", "$a ", "a<b>"])
+def test_long_and_deep_texts_are_read_in_one_go(part):
+    began = time.process_time()
+    assert markup.read(part * (200_000 // len(part)))[0] is not None
+    assert time.process_time() - began < 20
+
+
 def test_markup_rows(spark):
     df = items(spark, [("a", "# T"), ("b", None), ("c", ""), ("d", "plain"), ("a", "# T")])
     assert rows(markup.markup_kinds(df)) == [("a", "markdown"), ("a", "markdown")]
