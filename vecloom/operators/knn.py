@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,16 +38,17 @@ def all_normalized(df: DataFrame, vector_col: str) -> bool:
     return bool(df.agg(F.coalesce(F.bool_and(is_normalized(F.col(vector_col))), F.lit(False)).alias("ok")).first()["ok"])
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "l2sq", id_col: str = "id", vector_col: str = "vector", most_distance: float | None = None, skip_self: bool = False, block: int = 4096) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "l2sq", id_col: str = "id", vector_col: str = "vector", most_distance: float | None = None, skip_self: bool = False, block: int = 4096) -> DataFrame:
     """(query_id, item_id, rank, distance): the ``k`` nearest items of every query, ties by id.
 
     Queries go to the tasks in blocks of ``block`` rows, so what is broadcast is bounded. Every task scans its items once
     a block and keeps k a query; the ranking merges a task's k, not the distances. ``most_distance`` leaves out what is further; with it, ``k`` may be None for
     all items within that distance.
+    ``metric`` may also be a function of (queries, items) as rows of two matrices that gives their matrix of distances.
     ``auto`` takes 1 - dot if all vectors are normalised and squared L2 otherwise. Items whose vector is null or has another
     length than the query's are in no result; repeated rows are ranked each. Queries with a null id or vector have no rows.
     """
-    if (most_distance is None if k is None else k <= 0) or metric not in METRICS:
+    if (most_distance is None if k is None else k <= 0) or not (callable(metric) or metric in METRICS):
         raise ValueError("k must be positive, or None with a greatest distance, and the metric known")
     spark = items.sparkSession
     if metric == "auto":
@@ -75,7 +76,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "l2sq
                     if not batch.num_rows:
                         continue
                     own.extend(batch["id"].to_pylist())
-                    d = distances(q, matrix(batch["vector"]), metric)
+                    d = metric(q, matrix(batch["vector"])) if callable(metric) else distances(q, matrix(batch["vector"]), metric)
                     if skip_self:
                         place = {n: i for i, n in enumerate(own[base:])}
                         for row, n in enumerate(names):
