@@ -194,7 +194,9 @@ def forest_links(classes: DataFrame, k: int, least: float, dimension: int, fores
         yield from links(stretch.finish())
 
     rows = first.mapInArrow(strings, f"tree int, string bigint, id {id_type}, packed binary")
-    sorted_trees = rows.repartitionByRange(max(shuffle_partitions(spark), trees), "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
+    # stretches many times as long as the reach, since nobody is met across their ends
+    longest = max(trees, first.count() * trees // (32 * reach))
+    sorted_trees = rows.repartitionByRange(max(trees, min(shuffle_partitions(spark), longest)), "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
     return sorted_trees.mapInArrow(walk, f"a {id_type}, b {id_type}, score float")
 
 
