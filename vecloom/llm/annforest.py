@@ -200,26 +200,11 @@ def forest_links(classes: DataFrame, k: int, least: float, dimension: int, fores
     return sorted_trees.mapInArrow(walk, f"a {id_type}, b {id_type}, score float")
 
 
-def forest_pairs(classes: DataFrame, k: int, least: float, dimension: int, forest: Forest = Forest()) -> DataFrame:
-    """The links of ``forest_links`` without direction, once each: (a, b, score), a < b."""
-    links = forest_links(classes, k, least, dimension, forest)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
-def scored_pairs(classes: DataFrame, links: DataFrame, dimension: int) -> DataFrame:
-    """(a, b, similarity) with the exact cosine of every candidate link, in double precision."""
-    vectors = classes.select(F.col("ids")[0].alias("id"), "vector")
-    id_type = vectors.schema["id"].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
-                x, y = (_unit(_matrix(batch[c], dimension)) for c in ("x", "y"))
-                yield pa.record_batch({"a": batch["a"], "b": batch["b"], "similarity": pa.array((x * y).sum(axis=1))})
-
-    both = links.join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(score, f"a {id_type}, b {id_type}, similarity double")
+def forest_floors(links: DataFrame, k: int) -> DataFrame:
+    """(id, floor) of vectors that have k or more links: a little less than the score of the k-th best."""
+    once = links.repartition("a").groupBy("a", "b").agg(F.max("score").alias("score"))
+    best = once.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score")))).filter(F.col("place") == k)
+    return best.select(F.col("a").alias("id"), (F.col("score").cast("double") - 0.01).alias("floor"))
 
 
 def most_similar(df: DataFrame, id_col: str = "id", vector_col: str = "vector", k: int = 5, least: float = -1.0, dimension: int = 64, forest: Forest = Forest()) -> DataFrame:
@@ -228,13 +213,16 @@ def most_similar(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     Ties go to the lesser id. Equal vectors are one class in the forest; the others of a vector's class come first
     in its list (similarity 1). Vectors that are null, of another length, zero or not finite have no rows and are in no
     list; so have rows with a null id. Repeated rows with the same id and vector count once. An empty table gives an
-    empty result. Accuracy: a neighbour is missed only if no tree has it within reach; README.md has the recall
-    measured against brute force. Other columns are not read, whatever their names.
+    empty result. The result is exact: the forest says how similar a vector's k best are at least, and ``blocks.closest``
+    finds all that reach it. Other columns are not read, whatever their names.
     """
+    from vecloom.llm.blocks import closest
+
     classes, members = vector_classes(df, id_col, vector_col, k, dimension)
-    links = scored_pairs(classes, forest_pairs(classes, k + 1, least, dimension, forest), dimension).filter(F.col("similarity") >= least)
+    floors = stage(forest_floors(forest_links(classes, k + 1, least, dimension, forest), k + 1), "floors")
+    found = closest(classes.select(F.col("ids")[0].alias("id"), "vector"), floors, k + 1, least, dimension)
     names = classes.select(F.col("ids")[0].alias("name"), "class", "ids")
-    directed = links.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("name"), F.col("a").alias("other"), "similarity"))).alias("l")).select("l.*")
+    directed = found.select(F.col("a").alias("name"), F.col("b").alias("other"), "similarity")
     # a class's k best other classes hold its k best other vectors
     ranked = directed.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("similarity"), "other"))).filter(F.col("turn") <= k + 1)
     others = ranked.join(names.select(F.col("name").alias("other"), F.col("ids").alias("near")), "other").groupBy("name").agg(F.flatten(F.collect_list(F.transform("near", lambda i: F.struct((-F.col("similarity")).alias("far"), i.alias("id"))))).alias("near"))
