@@ -22,3 +22,14 @@ def test_neighbours_beyond_the_reach_are_found(spark):
     _, near = exact(x)
     got = annforest.most_similar(frame(spark, x), k=5, forest=annforest.Forest(1, 4, 50)).select("id", "rank", "neighbour")
     assert rows(got) == sorted(((f"i{i:04}", r + 1, f"i{j:04}") for i, n in enumerate(near) for r, j in enumerate(n)), key=repr)
+
+
+def test_a_group_of_near_copies_larger_than_the_reach(spark):
+    rng = np.random.default_rng(4)
+    one = rng.standard_normal(64)
+    x = np.concatenate([one + 0.2 * rng.standard_normal((900, 64)), rng.standard_normal((300, 64))]).astype(np.float32)
+    # scaled copies are equally similar, and ties go to the lesser id
+    x[500:600] = x[500] * 2.0 ** np.arange(-50, 50)[:, None]
+    s, near = exact(x)
+    pairs = {(f"i{min(i, j):04}", f"i{max(i, j):04}") for i, n in enumerate(near) for j in n if s[i, j] >= 0.93}
+    assert rows(annforest.similar_pairs(frame(spark, x), forest=annforest.Forest(1, 4, 50))) == sorted(pairs, key=repr)

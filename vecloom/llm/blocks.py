@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from vecloom.runtime import shuffle_partitions, stage
 
 #: Most vectors of a block, vectors of a ring (those of a block at about the same angle to its centre), and most cells.
 BLOCK, RING, CELLS = 4096, 512, 256
+#: Blocks that a task keeps ready for use.
+KEPT = 24
 #: Slack of angles and of scores in single precision.
 _ANGLE, _SCORE = 1e-6, 1e-5
 
@@ -131,14 +134,22 @@ def met(asked: DataFrame, others: DataFrame, k: int, dimension: int, id_type: st
     Pairs of blocks are the unit of work: a task reads blocks from the shared folder, so nothing is shuffled by pair."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, own, floor = None, None, None
+        known: OrderedDict[tuple, Block] = OrderedDict()
+
+        def block(ids: pa.Array, packed: pa.Scalar) -> Block:
+            # of a cell's vectors in order of their ids, so ends and length tell blocks apart
+            name = (ids[0].as_py(), ids[-1].as_py(), len(ids))
+            if name not in known:
+                known[name] = Block(ids.take(pa.array(np.arange(len(ids)))), packed.as_py(), dimension)  # copied, so that no batch is held
+                if len(known) > KEPT:
+                    known.popitem(last=False)
+            known.move_to_end(name)
+            return known[name]
+
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch["q_ids"][i].values
-                if name is None or name != (ids[0].as_py(), len(ids)):
-                    name = (ids[0].as_py(), len(ids))
-                    own, floor = Block(ids, batch["q_vectors"][i].as_py(), dimension), np.frombuffer(batch["q_floors"][i].as_py())
-                other = Block(batch["ids"][i].values, batch["vectors"][i].as_py(), dimension)
+                own, floor = block(batch["q_ids"][i].values, batch["q_vectors"][i]), np.frombuffer(batch["q_floors"][i].as_py())
+                other = block(batch["ids"][i].values, batch["vectors"][i])
                 for a, b, similarity in meet(own, floor, other, k):
                     if len(a):
                         yield pa.record_batch({"a": own.ids.take(pa.array(a)), "b": other.ids.take(pa.array(b)), "similarity": pa.array(similarity)})
