@@ -190,6 +190,12 @@ def pq_reconstruct_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_pq(spark, sf_dir).select(F.col("id").alias("vec_id"), "error"), "error")
 
 
+def pq_trained_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared error of a product quantizer of eight parts and 256 codes, trained until it settles or for 100 steps."""
+    book = quantize.product_book(_all(spark, sf_dir), 8, 256, 100, **PAIR)
+    return quantize.pq_encode(_all(spark, sf_dir), book, **PAIR).agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("error"))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> np.ndarray:
     """Two levels of eight codes: the first vectors, and their halves."""
     first = _book(spark, sf_dir, 8)
@@ -279,7 +285,7 @@ QUERIES = {
     "dist_early_stop": _measure("distance", lambda a, b: vector.early_stop(a, b, 1.2, 64)),
     "sim_cosine": _measure("similarity", vector.cosine),
     "sim_dot": _measure("similarity", vector.dot),
-    **{f.__name__: f for f in (vec_norm, vec_normalize, vec_is_normalized, similarity_threshold, similarity_graph_edges, graph_two_hop, graph_merge_edges, hnsw_levels, hnsw_search, hnsw_recall, lsh_build, mplsh_build, lsh_search, mplsh_search, lsh_rerank, kmeans_assign, kmeans_step, kmeans_train, optimistic_quantize, ivf_search, ivf_nprobe_search, pq_encode, pq_pack, pq_reconstruct_error, rq_encode, rq_reconstruct_error, rq_trained_error, optimistic_search, hybrid_search, hybrid_quality, ann_recall, adaptive_search, similar_query, query_cache_key, arena_lookup, hydrate_candidates, ivf_trained_search, lsh_wide_rerank, optimistic_wide_search, index_recall)},
+    **{f.__name__: f for f in (vec_norm, vec_normalize, vec_is_normalized, similarity_threshold, similarity_graph_edges, graph_two_hop, graph_merge_edges, hnsw_levels, hnsw_search, hnsw_recall, lsh_build, mplsh_build, lsh_search, mplsh_search, lsh_rerank, kmeans_assign, kmeans_step, kmeans_train, optimistic_quantize, ivf_search, ivf_nprobe_search, pq_encode, pq_pack, pq_reconstruct_error, rq_encode, rq_reconstruct_error, rq_trained_error, optimistic_search, hybrid_search, hybrid_quality, ann_recall, adaptive_search, similar_query, query_cache_key, arena_lookup, hydrate_candidates, ivf_trained_search, lsh_wide_rerank, optimistic_wide_search, index_recall, pq_trained_error)},
 }
 
 
