@@ -1,4 +1,4 @@
-"""Neighbours beyond the forest's reach."""
+"""Neighbours that share a prefix with too many others for the forest."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def test_neighbours_beyond_the_reach_are_found(spark):
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((3, 64))[rng.integers(0, 3, 1500)] + 0.6 * rng.standard_normal((1500, 64))).astype(np.float32)
     _, near = exact(x)
-    got = annforest.most_similar(frame(spark, x), k=5, forest=annforest.Forest(1, 4, 50)).select("id", "rank", "neighbour")
+    got = annforest.most_similar(frame(spark, x), k=5, forest=annforest.Forest(trees=(1,), most=4, sample=50)).select("id", "rank", "neighbour")
     assert rows(got) == sorted(((f"i{i:04}", r + 1, f"i{j:04}") for i, n in enumerate(near) for r, j in enumerate(n)), key=repr)
 
 
@@ -32,4 +32,4 @@ def test_a_group_of_near_copies_larger_than_the_reach(spark):
     x[500:600] = x[500] * 2.0 ** np.arange(-50, 50)[:, None]
     s, near = exact(x)
     pairs = {(f"i{min(i, j):04}", f"i{max(i, j):04}") for i, n in enumerate(near) for j in n if s[i, j] >= 0.93}
-    assert rows(annforest.similar_pairs(frame(spark, x), forest=annforest.Forest(1, 4, 50))) == sorted(pairs, key=repr)
+    assert rows(annforest.similar_pairs(frame(spark, x), forest=annforest.Forest(trees=(1,), most=4, sample=50))) == sorted(pairs, key=repr)

@@ -30,9 +30,9 @@ def test_equal_vectors_are_one_class(spark):
     assert found.filter("id like 'v%'").count() == 5 * N
     assert found.filter("id = 'near'").orderBy("rank").first()["neighbour"] == "v00000"
     assert found.filter("id like 'v%' and neighbour > 'v00005'").count() == 0
-    classes, members = linkage.similarity_clusters(df)
-    assert classes.groupBy("cluster").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] >= N + 1
-    assert members.count() == N + 21
+    clusters = linkage.similarity_clusters(df)
+    assert clusters.classes.groupBy("cluster").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] >= N + 1
+    assert clusters.members.count() == N + 21
 
 
 def test_one_source_and_equal_texts(spark):

@@ -97,12 +97,63 @@ def test_forest_finds_the_nearest(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     got = {}
-    for r in annforest.most_similar(frame(spark, x), k=5, forest=annforest.Forest(8, 64, 200)).collect():
+    for r in annforest.most_similar(frame(spark, x), k=5, forest=annforest.Forest(sample=200)).collect():
         got.setdefault(r["id"], set()).add(r["neighbour"])
     exact = {f"i{i:04}": {f"i{j:04}" for j in np.argsort(-s[i])[:5]} for i in range(len(x))}
     assert sum(len(got[i] & n) for i, n in exact.items()) >= 0.9 * 5 * len(x)
     pairs = {(min(a, b), max(a, b)) for a, n in exact.items() for b in n if s[int(a[1:]), int(b[1:])] >= 0.93}
-    assert set(rows(annforest.similar_pairs(frame(spark, x), forest=annforest.Forest(8, 64, 200)))) == pairs
+    assert set(rows(annforest.similar_pairs(frame(spark, x), forest=annforest.Forest(sample=200)))) == pairs
+
+
+def test_ascent_meets_near_copies_without_exact_search():
+    rng = np.random.default_rng(8)
+    base = clustered(3000, groups=4).astype(np.float64)
+    x = np.concatenate([base, base[:600] + 0.02 * rng.standard_normal((600, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fitted = annforest.fit(x[rng.choice(len(x), 500, replace=False)], len(x), 0.93, annforest.Forest(trees=(8,), most=1500), 4)
+    assert fitted.levels[0] > 0 and (np.diff(fitted.levels) >= 0).all()
+    strings, met, left = annforest.hash_strings(x, fitted.normals, fitted.middle), set(), set()
+    for t in range(fitted.trees):
+        order = np.argsort(strings[:, t], kind="stable")
+        ascent = annforest.Ascent(strings[order, t], x[order].astype(np.float32), 6, 0.93, fitted.scores, fitted.levels, 1500)
+        ascent.run(0)
+        a, b, _ = ascent.found()
+        met |= set(zip(order[a].tolist(), order[b].tolist(), strict=True))
+        left |= set(order[ascent.left].tolist())
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i in range(len(x)) if i not in left for j in np.argsort(-s[i])[:6] if s[i, j] >= 0.93}
+    assert len(left) < len(x) / 4 and len(true & met) >= 0.99 * len(true)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_and_pieces_cover_a_tree(seed):
+    rng = np.random.default_rng(seed)
+    strings = np.sort(np.concatenate([rng.integers(0, 1 << 62, 900), np.full(300, 5), rng.integers(0, 1 << 20, 500)]))
+    cells = annforest.cut_cells(strings, 64)
+    assert cells[0][0] == 0 and sum(c[2] for c in cells) == len(strings)
+    assert all(a[0] + (1 << (62 - a[1])) == b[0] for a, b in zip(cells, cells[1:], strict=False))
+    cut = list(linkage.pieces(strings, 64))
+    assert cut[0][0] == 0 and cut[-1][1] == len(strings) and all(0 < b - a <= 64 for a, b in cut) and all(p[1] == q[0] for p, q in zip(cut, cut[1:], strict=False))
+    assert list(linkage.pieces(strings[:0], 64)) == []
+
+
+def with_partitions(spark, n, work):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        return work()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_partitions_change_no_vector_result(spark):
+    df = frame(spark, clustered(900)).cache()
+    small = annforest.Forest(trees=(4,), most=200, sample=300)
+    near = [with_partitions(spark, n, lambda: rows(annforest.similar_pairs(df, least=0.8, forest=small))) for n in (4, 64)]
+    assert near[0] and near[0] == near[1]
+    found = [with_partitions(spark, n, lambda: rows(linkage.similarity_clusters(df, how=linkage.Linkage(cell=64)).classes.select("cluster", "ids"))) for n in (4, 64)]
+    assert found[0] == found[1]
 
 
 def test_equal_vectors_ties_and_unusable_ones(spark):
@@ -124,45 +175,63 @@ def purity(cluster, label):
     return sum(max(g.count(v) for v in set(g)) for g in groups.values()) / len(label)
 
 
-@pytest.mark.parametrize("finish", [10, 10_000])
-def test_clusters_are_the_planted_ones(spark, finish):
+def planted(spark, cell, n=240):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((6, 64))
-    label = rng.integers(0, 6, 240)
-    x = (centres[label] + 0.5 * rng.standard_normal((240, 64))).astype(np.float32)
-    how = linkage.Linkage(forest=annforest.Forest(3, 64, 200), finish_links=finish, slab=50)
-    classes, members = linkage.similarity_clusters(frame(spark, x), how=how)
-    of = {r["id"]: r["cluster"] for r in members.join(classes, "class").select("id", "cluster").collect()}
+    label = rng.integers(0, 6, n)
+    x = (centres[label] + 0.5 * rng.standard_normal((n, 64))).astype(np.float32)
+    return linkage.similarity_clusters(frame(spark, x), how=linkage.Linkage(cell=cell)), label, np.arange(6), centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cell", [20, 2048])
+def test_clusters_are_the_planted_ones(spark, cell):
+    found, label, codes, c = planted(spark, cell)
+    of = {r["id"]: r["cluster"] for r in found.members.join(found.classes, "class").select("id", "cluster").collect()}
     cluster = [of[f"i{i:04}"] for i in range(240)]
     assert purity(cluster, label.tolist()) == 1.0 and len(set(cluster)) <= 12
-    codes, c = np.arange(6), centres / np.linalg.norm(centres, axis=1, keepdims=True)
-    named = {r["id"]: r["code"] for r in linkage.clustered_codes(classes, members, codes, c).collect()}
-    assert all(named[f"i{i:04}"] == label[i] for i in range(240))
-    top = linkage.described_clusters(classes, members, codes, c, 2)
+    named = {r["id"]: r for r in linkage.clustered_codes(found, codes, c).collect()}
+    assert all(named[f"i{i:04}"]["code"] == label[i] for i in range(240))
+    assert sum(r["by_cluster"] for r in named.values()) > 120
+    top = linkage.described_clusters(found, codes, c, 2)
     assert top.filter("rank = 1").agg(F.sum("size")).first()[0] == 240
+    assert found.sums.agg(F.sum("size")).first()[0] == 240
 
 
-def test_contract_is_average_linkage():
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((30, 8)) + 2 * np.eye(8)[rng.integers(0, 3, 30)]
+def test_a_wrong_clustering_names_nothing_by_itself(spark):
+    found, _, codes, c = planted(spark, 2048)
+    wrong = linkage.Clusters(found.classes, found.members, found.fragments.withColumn("cluster", F.lit("i0000")), found.sums.withColumn("cluster", F.lit("i0000")).limit(1))
+    right, other = (linkage.clustered_codes(f, codes, c) for f in (found, wrong))
+    assert rows(right.select("id", "code")) == rows(other.select("id", "code"))
+    assert other.filter("by_cluster").count() < right.filter("by_cluster").count() / 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 60])
+def test_merging_is_average_linkage(n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 8)) + 2 * np.eye(8)[rng.integers(0, 3, n)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.triu_indices(30, 1)
-    s = (x[a] * x[b]).sum(axis=1)
-    got = linkage.contract(x.copy(), np.ones(30), 30, a, b, s, 0.3)
-    groups = [[i] for i in range(30)]
+    total, size = x.copy(), np.ones(n)
+    got = linkage.merge_all(total, size, 0.3)
+    groups = [[i] for i in range(n)]
     while len(groups) > 1:
-        best = max(((np.mean([x[i] @ x[j] for i in g for j in h]), n, m) for n, g in enumerate(groups) for m, h in enumerate(groups[:n])), key=lambda t: t[0])
+        best = max(((np.mean([x[i] @ x[j] for i in g for j in h]), a, b) for a, g in enumerate(groups) for b, h in enumerate(groups[:a])), key=lambda t: t[0])
         if best[0] < 0.3:
             break
         groups[best[2]] += groups.pop(best[1])
     assert sorted(sorted(g) for g in groups) == sorted(np.flatnonzero(got == l).tolist() for l in set(got.tolist()))
+    assert all(np.allclose(total[l], x[got == l].sum(axis=0)) and size[l] == (got == l).sum() for l in set(got.tolist()))
+
+
+def test_equal_similarities_merge():
+    total = np.eye(4)[[0, 0, 0, 1, 1, 2]].copy()
+    assert linkage.merge_all(total, np.ones(6), 0.3).tolist() == [0, 0, 0, 3, 3, 5]
 
 
 def test_clusters_of_nothing(spark):
-    classes, members = linkage.similarity_clusters(frame(spark, clustered(3)).limit(0))
-    assert classes.count() == 0 and members.count() == 0
-    classes, members = linkage.similarity_clusters(frame(spark, clustered(1)))
-    assert classes.count() == 1
+    found = linkage.similarity_clusters(frame(spark, clustered(3)).limit(0))
+    assert found.classes.count() == 0 and found.members.count() == 0
+    assert linkage.clustered_codes(found, np.arange(1), np.eye(64)[:1]).count() == 0
+    assert linkage.similarity_clusters(frame(spark, clustered(1))).classes.count() == 1
 
 
 # markup

@@ -131,13 +131,13 @@ def packed_blocks(rows: DataFrame, dimension: int, centres: np.ndarray) -> DataF
 def met(asked: DataFrame, others: DataFrame, k: int, dimension: int, id_type: str) -> DataFrame:
     """(a, b, similarity) of packed blocks: for every asked vector all others of similarity ``floor`` or more that can be among its k best.
 
-    Pairs of blocks are the unit of work: a task reads blocks from the shared folder, so nothing is shuffled by pair."""
+    Pairs of blocks are the unit of work; every block is sent to a row or column of a square of tasks, once to each."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[tuple, Block] = OrderedDict()
 
         def block(ids: pa.Array, packed: pa.Scalar) -> Block:
-            # of a cell's vectors in order of their ids, so ends and length tell blocks apart
+            # a first id opens one block of a table, and a block of some of its ids has another length or end
             name = (ids[0].as_py(), ids[-1].as_py(), len(ids))
             if name not in known:
                 known[name] = Block(ids.take(pa.array(np.arange(len(ids)))), packed.as_py(), dimension)  # copied, so that no batch is held
@@ -154,23 +154,27 @@ def met(asked: DataFrame, others: DataFrame, k: int, dimension: int, id_type: st
                     if len(a):
                         yield pa.record_batch({"a": own.ids.take(pa.array(a)), "b": other.ids.take(pa.array(b)), "similarity": pa.array(similarity)})
 
-    spread = asked.toDF("q_ids", "q_vectors", "q_floors").repartition(shuffle_partitions(asked.sparkSession))
-    pairs = spread.crossJoin(others.select("ids", "vectors").hint("shuffle_replicate_nl"))
+    # a square of tasks: asked blocks of a row of it meet the other blocks of a column
+    side = int(np.ceil(np.sqrt(shuffle_partitions(asked.sparkSession))))
+    own = lambda: F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(side)).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    rows = asked.select(own().alias("row"), every().alias("column"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("floors").alias("q_floors"))
+    columns = others.select(own().alias("column"), every().alias("row"), "ids", "vectors")
+    pairs = rows.join(columns, ["row", "column"]).select("q_ids", "q_vectors", "q_floors", "ids", "vectors")
     return pairs.mapInArrow(search, f"a {id_type}, b {id_type}, similarity double").filter("a <> b")
 
 
-def closest(rows: DataFrame, floors: DataFrame, k: int, least: float, dimension: int) -> DataFrame:
-    """(a, b, similarity), of similarity ``least`` or more: for every vector of (id, vector) a superset of its k most similar.
+def closest(rows: DataFrame, number: int, asked: DataFrame, floors: DataFrame, k: int, least: float, dimension: int) -> DataFrame:
+    """(a, b, similarity), of similarity ``least`` or more: for every asked id a superset of its k most similar of (id, vector).
 
-    ``floors`` (id, floor) has what a vector's k-th best is expected to reach; it bounds the work, not the result:
+    ``floors`` (id, floor) has what an asked vector's k-th best is expected to reach; it bounds the work, not the result:
     a vector with fewer than k others above its floor is asked again without one. ``rows`` must be staged, ids unique.
     """
     id_type = rows.schema["id"].dataType.simpleString()
-    start = rows.join(floors, "id", "left").select("id", "vector", F.greatest(F.lit(least), F.coalesce("floor", F.lit(least))).alias("floor"))
-    number = rows.count()
-    centres = fit_cells(bounded_sample(rows, 4096, dimension), max(1, min(CELLS, number // BLOCK)))
-    blocks = packed_blocks(start, dimension, centres)
-    found = stage(met(blocks, blocks, k, dimension, id_type), "nearest")
+    start = rows.join(asked, "id").join(floors, "id", "left").select("id", "vector", F.greatest(F.lit(least), F.coalesce("floor", F.lit(least))).alias("floor"))
+    centres = fit_cells(bounded_sample(rows, number, 4096, dimension), max(1, min(CELLS, number // BLOCK)))
+    blocks = packed_blocks(rows.withColumn("floor", F.lit(least)), dimension, centres)
+    found = stage(met(packed_blocks(start, dimension, centres), blocks, k, dimension, id_type), "nearest")
     held = found.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("a").alias("id"))
     short = stage(floors.filter(F.col("floor") > least).select("id").join(held, "id", "left_anti"), "short")
     if number > k and short.head(1):

@@ -6,292 +6,235 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.llm.annforest import Forest, _matrix, _unit, forest_links, vector_classes
+from vecloom.llm.annforest import STRING_BITS, _matrix, _unit, bounded_sample, by_cell, cut_cells, fit_planes, hash_strings, spread, vector_classes
 from vecloom.runtime import release, shuffle_partitions, stage
 
 
 @dataclass(frozen=True)
 class Linkage:
-    """``least``: average similarity below which nothing merges. ``links``: links to its most similar others that every
-    cluster keeps in the sparse graph, in every round. ``slab``: clusters that a task holds at a time. ``finish_links``: size
-    up to which the contracted graph (not the data) is finished in one task."""
+    """``least``: average similarity below which nothing merges. ``cell``: clusters that are linked with each other in a round;
+    the links of a round join those that share a prefix of its tree. ``settled``: share of the clusters that must merge in
+    a round for another one to follow, with another tree. ``sample`` bounds what a tree is fitted to."""
 
     least: float = 0.3
-    links: int = 3
-    forest: Forest = Forest(trees=3, reach=128)
-    slab: int = 20_000
-    finish_links: int = 200_000
-    most_rounds: int = 200
-
-
-def _reciprocal(a: np.ndarray, b: np.ndarray, similarity: np.ndarray, n: int) -> np.ndarray:
-    """Places of the links that are the best of both their ends; of equal ones the one with the least ends."""
-    order = np.lexsort((b, a, -similarity))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    best = np.full(n, len(order), np.int64)
-    np.minimum.at(best, a, rank)
-    np.minimum.at(best, b, rank)
-    return np.flatnonzero((best[a] == rank) & (best[b] == rank))
-
-
-def contract(total: np.ndarray, size: np.ndarray, own: int, a: np.ndarray, b: np.ndarray, similarity: np.ndarray, least: float) -> np.ndarray:
-    """Rounds on part of a graph in memory: label (a node's number) of each of the first ``own`` nodes.
-
-    ``total`` and ``size`` are changed to those of the labels. Nodes from ``own`` on belong to other tasks: they stay as they
-    are and merge with nobody, but a link to one keeps a node from merging with a less similar one. That is safe, since
-    average linkage never makes a merged cluster more similar to a third than both its parts were: whatever the other
-    tasks do, a pair that is reciprocal now stays so.
-    """
-    n = len(size)
-    label = np.arange(n)
-    keep = (similarity >= least) & (a != b)
-    a, b, similarity = np.minimum(a, b)[keep], np.maximum(a, b)[keep], similarity[keep]
-    while len(a):
-        merge = _reciprocal(a, b, similarity, n)
-        merge = merge[b[merge] < own]
-        if not len(merge):
-            break
-        into = np.arange(n)
-        into[b[merge]] = a[merge]
-        total[a[merge]] += total[b[merge]]
-        size[a[merge]] += size[b[merge]]
-        label = into[label]
-        changed = np.zeros(n, bool)
-        changed[a[merge]] = True
-        a, b = into[a], into[b]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        _, first = np.unique(a * n + b, return_index=True)
-        first = first[a[first] != b[first]]
-        a, b, similarity = a[first], b[first], similarity[first]
-        again = np.flatnonzero(changed[a] | changed[b])
-        for at in range(0, len(again), 20_000):
-            i = again[at : at + 20_000]
-            similarity[i] = (total[a[i]] * total[b[i]]).sum(axis=1) / (size[a[i]] * size[b[i]])
-        keep = similarity >= least
-        a, b, similarity = a[keep], b[keep], similarity[keep]
-    return label[:own]
-
-
-def _mean_bytes(mean: np.ndarray) -> pa.Array:
-    """Mean vectors in 8-bit integers, each with its scale."""
-    scale = np.maximum(np.abs(mean).max(axis=1, keepdims=True), 1e-12).astype(np.float32) if len(mean) else np.zeros((0, 1), np.float32)
-    rows = np.concatenate([np.rint(mean / scale * 127).astype(np.int8).view(np.uint8), scale.view(np.uint8)], axis=1)
-    return pa.array([r.tobytes() for r in rows], pa.binary())
-
-
-def _means(column: list[bytes], dimension: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, dimension + 4)
-    return raw[:, :dimension].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, dimension:]).view(np.float32) / 127)
-
-
-def _floats(column: list[bytes], dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dimension)
-
-
-def _start(classes: DataFrame, dimension: int, id_type: str) -> DataFrame:
-    """Every class as a node: (node, size, total, packed), total being its unit vector times its size."""
+    cell: int = 2048
+    settled: float = 0.01
+    sample: int = 4096
+    seed: int = 29
+    most_rounds: int = 100
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, size = _unit(_matrix(batch["vector"], dimension)), batch["size"].to_numpy()
-            total = (x * size[:, None]).astype(np.float32)
-            yield pa.record_batch({"node": batch["name"], "size": batch["size"], "total": pa.array([t.tobytes() for t in total], pa.binary()), "packed": _mean_bytes(x)})
-
-    return classes.select("name", "size", "vector").mapInArrow(run, f"node {id_type}, size bigint, total binary, packed binary")
 
+@dataclass(frozen=True)
+class Clusters:
+    """``classes``: (class, ids, vector, size, fragment, cluster), a row for each class of equal vectors; ``members``: (id, class);
+    ``fragments``: (fragment, cluster), what the first round made and where it ended, each of a bounded number of classes;
+    ``sums``: (cluster, size, total), members and the sum of their unit vectors as packed doubles."""
 
-def _ranked(links: DataFrame, keep: int) -> DataFrame:
-    """(node, other, similarity, rank): every node's ``keep`` most similar others, both directions of every link."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))).alias("e")).select("e.*")
-    # one exchange serves the repeats and the ranking
-    ends = ends.repartition("node").dropDuplicates(["node", "other"])
-    # ties are broken by the pair, the same seen from either end, so the best link of all is always reciprocal
-    order = Window.partitionBy("node").orderBy(F.desc("similarity"), F.least("node", "other"), F.greatest("node", "other"))
-    return ends.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+    classes: DataFrame
+    members: DataFrame
+    fragments: DataFrame
+    sums: DataFrame
 
 
-def _parts(ranked: DataFrame, slab: int) -> DataFrame:
-    """(node, part): a division of the nodes that keeps together what follows the same chain of most similar clusters.
+def merge_all(total: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Average linkage of a complete graph: label (an index) of each node; ``total`` and ``size`` become those of the labels.
 
-    Pointers to the most similar other lead to a reciprocal pair; four steps of them are followed. Any division would be
-    correct, so parts larger than ``slab`` are cut by a hash of the place two steps on, which keeps reciprocal pairs whole.
+    Every step merges all pairs that are each other's most similar, which gives what merging one pair at a time gives, since
+    average linkage never makes a merged cluster more similar to a third than both its parts were. The average similarity of two
+    clusters is the product of their vector sums over the product of their sizes, so it is exact at any size. Only rows whose
+    most similar cluster merged are searched anew. Ties go to the first pair.
+    """
+    n = len(size)
+    label, names = np.arange(n), np.arange(n)
+    while len(names) > 1:
+        own, weight = total[names], size[names]
+        mean = own / weight[:, None]
+        s = mean @ mean.T
+        np.fill_diagonal(s, -np.inf)
+        best = s.argmax(axis=1)
+        value = s[np.arange(len(names)), best]
+        alive = np.ones(len(names), bool)
+        # the matrix is made anew when half of it is gone
+        while 2 * alive.sum() >= len(names):
+            at = np.flatnonzero(alive & (value >= least))
+            a = at[(best[best[at]] == at) & (at < best[at])]
+            if not len(a):
+                if len(at):
+                    # rounding alone can leave none of equal ones mutual
+                    a = at[[value[at].argmax()]]
+                else:
+                    total[names], size[names] = own, weight
+                    return _final(label)
+            b = best[a]
+            own[a] += own[b]
+            weight[a] += weight[b]
+            mean[a] = own[a] / weight[a][:, None]
+            label[names[b]] = names[a]
+            alive[b] = False
+            s[b] = -np.inf
+            s[:, b] = -np.inf
+            value[b] = -np.inf
+            rows = mean[a] @ mean.T
+            rows[:, ~alive] = -np.inf
+            rows[np.arange(len(a)), a] = -np.inf
+            s[a] = rows
+            s[:, a] = rows.T
+            gone = np.zeros(len(names), bool)
+            gone[a] = gone[b] = True
+            again = np.flatnonzero(alive & (gone | gone[best]))
+            best[again] = s[again].argmax(axis=1)
+            value[again] = s[again, best[again]]
+        total[names], size[names] = own, weight
+        names = names[alive]
+    return _final(label)
+
+
+def _final(label: np.ndarray) -> np.ndarray:
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def pieces(strings: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sorted strings of ``most`` at most: prefixes as long as that takes, joined from the left while they fit."""
+    open_, start, end = [(0, len(strings))], 0, 0
+    while open_:
+        low, high = open_.pop()
+        if high - low > most:
+            bits = STRING_BITS - int(strings[low] ^ strings[high - 1]).bit_length()
+            if bits < STRING_BITS:
+                shift = STRING_BITS - 1 - bits
+                middle = low + int(np.searchsorted(strings[low:high], strings[high - 1] >> shift << shift))
+            else:
+                middle = low + most
+            open_ += [(middle, high), (low, middle)]
+        elif high - start > most:
+            yield start, end
+            start, end = low, high
+        else:
+            end = high
+    if end > start:
+        yield start, end
+
+
+def _packed(total: np.ndarray) -> pa.Array:
+    return pa.array([t.tobytes() for t in total], pa.binary())
+
+
+def _sums(column: pa.Array, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dimension).copy()
+
+
+def _round(nodes: DataFrame, number: int, turn: int, how: Linkage, dimension: int, id_type: str) -> DataFrame:
+    """(old, node, size, total): one round; ``size`` and ``total`` on the rows of those that remain.
+
+    Nodes are (id, size, vector): the first round has vectors, later ones means, of which total is the product with the size.
     """
-    best = ranked.filter("rank = 1").select("node", "other")
-    back = best.select(F.col("node").alias("other"), F.col("other").alias("back"))
-    step = stage(best.join(back, "other").select("node", F.when(F.col("back") == F.col("node"), F.least("node", "other")).otherwise(F.col("other")).alias("part")), "steps")
-    twice = lambda df: df.join(df.select(F.col("node").alias("part"), F.col("part").alias("next")), "part").select("node", F.col("next").alias("part"))
-    two = stage(twice(step), "steps")
-    four = two.join(two.select(F.col("node").alias("part"), F.col("part").alias("next")), "part").select("node", F.col("part").alias("near"), F.col("next").alias("part"))
-    large = four.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > slab)
-    cut = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("near"), F.ceil(F.col("n") / slab)))
-    out = stage(four.join(large, "part", "left").select("node", F.xxhash64("part", cut).alias("part")), "parts")
-    release(step, two)
-    return out
-
-
-def _round(nodes: DataFrame, ranked: DataFrame, labels: DataFrame, how: Linkage, dimension: int, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One distributed round: every task merges its part of the graph until no reciprocal pair is left in it."""
-    parts = _parts(ranked, how.slab)
-    points = nodes.join(parts, "node").select("part", "node", F.lit(0).alias("kind"), "size", "total", F.lit(None).cast(id_type).alias("other"), F.lit(None).cast("binary").alias("packed"), F.lit(0.0).alias("similarity"))
-    to = nodes.select(F.col("node").alias("other"), "packed")
-    links = ranked.join(parts, "node").join(to, "other").select("part", "node", F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("total"), "other", "packed", "similarity")
-    least, slab = how.least, how.slab
-    arrow = to_arrow_type(nodes.schema["node"].dataType)
-
-    def work(rows: list[dict]) -> pa.RecordBatch:
-        own = [r for r in rows if r["kind"] == 0]
-        link = [r for r in rows if r["kind"] == 1]
-        place = {r["node"]: i for i, r in enumerate(own)}
-        n = len(own)
-        far: dict = {}
-        for r in link:
-            if r["other"] not in place and r["other"] not in far:
-                far[r["other"]] = (n + len(far), r["packed"])
-        # of a cluster elsewhere the mean is enough: as if it had one member
-        total = np.concatenate([_floats([r["total"] for r in own], dimension), _means([m for _, m in far.values()], dimension)]).astype(np.float64)
-        size = np.concatenate([np.array([r["size"] for r in own], np.float64), np.ones(len(far))])
-        a = np.array([place[r["node"]] for r in link], np.int64)
-        b = np.array([place[r["other"]] if r["other"] in place else far[r["other"]][0] for r in link], np.int64)
-        label = contract(total, size, n, a, b, np.array([r["similarity"] for r in link], np.float64), least)
-        kept = label == np.arange(n)
-        names = [r["node"] for r in own]
-        mean = (total[:n] / size[:n, None])[label]
-        return pa.record_batch({"old": pa.array(names, arrow), "node": pa.array([names[i] for i in label], arrow), "size": pa.array(size[:n].astype(np.int64)), "total": pa.array([t.tobytes() if k else None for t, k in zip(total[:n].astype(np.float32), kept, strict=True)], pa.binary()), "packed": _mean_bytes(mean)})
+    spark = nodes.sparkSession
+    sample = bounded_sample(nodes, number, how.sample, dimension)
+    normals, middle = fit_planes(sample, 1, how.seed + turn)
+    cells = cut_cells(hash_strings(sample, normals, middle)[:, 0] if len(sample) else np.zeros(0, np.int64), 8 * how.cell * len(sample) / max(1, number))
+    parts = shuffle_partitions(spark)
+    shared = spark.sparkContext.broadcast((normals, middle, np.array([c[0] for c in cells], np.int64), np.array(spread([float(c[2]) for c in cells], parts), np.int32)))
+    of_units, least, cell = turn == 0, how.least, how.cell
+    arrow = to_arrow_type(nodes.schema["id"].dataType)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals, middle, starts, part = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                x = _matrix(batch["vector"], dimension)
+                key = hash_strings(_unit(x), normals, middle)[:, 0]
+                of = np.searchsorted(starts, key, side="right") - 1
+                yield pa.record_batch({"part": pa.array(part[of]), "cell": pa.array(of.astype(np.int32)), "string": pa.array(key), "id": batch["id"], "size": batch["size"], "vector": _packed(x)})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(_: int, held: list[pa.RecordBatch], __: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            ids, key = rows["id"].combine_chunks(), rows["string"].to_numpy()
+            for low, high in pieces(key, cell):
+                part = rows.slice(low, high - low)
+                raw = b"".join(part["vector"].to_pylist())
+                x = _unit(np.frombuffer(raw, np.float32).reshape(-1, dimension)) if of_units else np.frombuffer(raw, np.float64).reshape(-1, dimension)
+                size = part["size"].to_numpy().astype(np.float64)
+                total = x * size[:, None]
+                label = merge_all(total, size, least)
+                remain = label == np.arange(len(label))
+                # nulls where the node is gone
+                yield pa.record_batch({"old": ids.slice(low, high - low), "node": ids.take(pa.array(label + low)), "size": pa.array(size.astype(np.int64), mask=~remain), "total": pa.array([t.tobytes() if r else None for t, r in zip(total, remain, strict=True)], pa.binary())})
+
+        yield from by_cell(batches, work)
+
+    rows = nodes.mapInArrow(strings, f"part int, cell int, string bigint, id {id_type}, size bigint, vector binary")
+    return stage(rows.repartitionById(parts, "part").sortWithinPartitions("cell", "string", "id").mapInArrow(merge, f"old {id_type}, node {id_type}, size bigint, total binary"), "round")
+
+
+def _means(now: DataFrame, dimension: int, id_type: str) -> DataFrame:
+    """What a round left as nodes of the next one: (id, size, vector), the mean in double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        seen = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    if seen == slab:
-                        yield work(held)
-                        held, seen = [], 0
-                    seen += 1
-                held.append(row)
-        if held:
-            yield work(held)
-
-    together = points.unionByName(links).repartition(shuffle_partitions(nodes.sparkSession), "part").sortWithinPartitions("part", "node", "kind")
-    # old name, new name and new mean together: one join an end renames a link and brings its vector
-    now = stage(together.mapInArrow(run, f"old {id_type}, node {id_type}, size bigint, total binary, packed binary"), "now")
-    new_nodes = now.filter("old = node").select("node", "size", "total", "packed")
-    # clusters without links are done and only live on in the labels
-    new_labels = stage(labels.join(now.select(F.col("old").alias("node"), F.col("node").alias("new")), "node", "left").select("name", F.coalesce("new", "node").alias("node")), "labels")
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 5000):
-                batch = whole.slice(start, 5000)
-                s = (_means(batch["p"].to_pylist(), dimension) * _means(batch["q"].to_pylist(), dimension)).sum(axis=1, dtype=np.float64)
-                keep = pa.array(np.flatnonzero(s >= least))
-                yield pa.record_batch({"a": batch["a"].take(keep), "b": batch["b"].take(keep), "similarity": pa.array(s[s >= least])})
-
-    pairs = ranked.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-    renamed = pairs.join(now.select(F.col("old").alias("x"), F.col("node").alias("a"), F.col("packed").alias("p")), "x").join(now.select(F.col("old").alias("y"), F.col("node").alias("b"), F.col("packed").alias("q")), "y").filter("a <> b")
-    left = renamed.select("a", "b", "p", "q").mapInArrow(average, f"a {id_type}, b {id_type}, similarity double")
-    new_ranked = stage(_ranked(left, how.links), "graph")
-    release(ranked, labels, parts)
-    return new_nodes, new_ranked, new_labels
-
-
-def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "vector", how: Linkage = Linkage(), dimension: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Clusters of mutually similar vectors: (classes with their cluster, members).
-
-    The first has (class, ids, vector, size, cluster), a row for each class of equal vectors, the second (id, class).
-    ``cluster`` is the least id of one class of the cluster; a vector without similar ones is a cluster of its own.
-
-    A sparse graph of similar vectors (``forest_links``) says which clusters may merge. In every round all pairs
-    that are each other's best merge; the similarity of two clusters is the average over all pairs of their
-    members, which is the product of their vector sums over the product of their sizes, so no pairs are kept. Tasks hold
-    parts of the graph and merge in rounds until no reciprocal pair is left within a part (``contract`` says why that
-    is the same); then links are renamed and united, every cluster keeps those to its most similar others, and the graph
-    is divided anew. All of it is joins and rankings over links, written to the shared folder; once no more than
-    ``finish_links`` directed links are left, one task holds them all.
-
-    Vectors that are not usable belong to no cluster; an empty table gives none. Equal vectors share a cluster,
-    and repeated rows count once. Other columns are not read, whatever their names.
+            if batch.num_rows:
+                values = (_sums(batch["total"], dimension) / batch["size"].to_numpy()[:, None]).ravel()
+                ends = pa.array(np.arange(0, len(values) + 1, dimension, dtype=np.int32))
+                yield pa.record_batch({"id": batch["node"], "size": batch["size"], "vector": pa.ListArray.from_arrays(ends, pa.array(values))})
+
+    return now.filter("total is not null").mapInArrow(run, f"id {id_type}, size bigint, vector array<double>")
+
+
+def similarity_clusters(df: DataFrame, id_col: str = "id", vector_col: str = "vector", how: Linkage = Linkage(), dimension: int = 64) -> Clusters:
+    """Clusters of mutually similar vectors. ``cluster`` is the least id of one class of the cluster; a vector without similar
+    ones is a cluster of its own.
+
+    Every round makes a sparse graph: clusters that share a prefix in a tree of hash strings (``cell`` of them at most) are
+    linked. Within its links, all pairs that are each other's most similar merge, until no two linked clusters have an
+    average similarity of ``least`` (``merge_all``). The next round hashes the means of what is left with another tree, so
+    links are never lost for good: fragments of one cluster have means that hardly differ and share the longest prefixes.
+    Rounds end when everything left was linked with everything, or few merge (``settled``). Similarities are exact averages from
+    vector sums in every round. Cells are fitted to a sample of fixed size, so neither partitions nor tasks change the result.
+
+    Vectors that are not usable belong to no cluster; an empty table gives none. Equal vectors share a cluster, and repeated
+    rows count once. Other columns are not read, whatever their names.
     """
     classes, members = vector_classes(df, id_col, vector_col, 1, dimension)
     members = stage(members, "members")
     sizes = members.groupBy("class").agg(F.count("*").alias("size"))
     classes = stage(classes.join(sizes, "class").withColumn("name", F.col("ids")[0]), "classes")
     id_type = classes.schema["name"].dataType.simpleString()
-    nodes = stage(_start(classes, dimension, id_type), "nodes")
-    found = forest_links(classes.select("ids", "vector"), how.links, how.least, dimension, how.forest).filter(F.col("score") >= how.least)
-    # a link has one score in all trees, so repeats share a rank
-    best = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= how.links)
-    ranked = stage(_ranked(best.select("a", "b", F.col("score").cast("double").alias("similarity")), how.links), "graph")
-    labels = classes.select("name", F.col("name").alias("node"))
-    for _ in range(how.most_rounds):
-        left = ranked.count()
-        if left <= how.finish_links:
+    nodes, number = classes.select(F.col("name").alias("id"), "size", "vector"), classes.count()
+    rounds: list[DataFrame] = []
+    for turn in range(how.most_rounds):
+        rounds.append(_round(nodes, number, turn, how, dimension, id_type))
+        nodes, before = _means(rounds[-1], dimension, id_type), number
+        number = nodes.count()
+        if before <= how.cell or before - number <= how.settled * before:
             break
-        nodes, ranked, labels = _round(nodes, ranked, labels, how, dimension, id_type)
+    first = rounds[0].select(F.col("old").alias("name"), F.col("node").alias("fragment"))
+    # a node is merged away once at most, so the rounds' merges are a forest; halving its paths finds the roots
+    up = None
+    for now in rounds[1:]:
+        gone = now.filter("old <> node").select("old", "node")
+        up = gone if up is None else up.unionByName(gone)
+    fragments = rounds[0].filter("old = node").select(F.col("node").alias("fragment"))
+    if up is None:
+        fragments = fragments.withColumn("cluster", F.col("fragment"))
     else:
-        raise RuntimeError(f"after {how.most_rounds} rounds {left} links are left")
-    if left:
-        ends = ranked.select("node").union(ranked.select("other")).distinct()
-        least = how.least
-
-        def run(_: tuple, points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-            points = points.sort_values("node", ignore_index=True)
-            names = points["node"].to_numpy()
-            at = {name: i for i, name in enumerate(names)}
-            total = _floats(points["total"].tolist(), dimension).astype(np.float64)
-            label = contract(total, points["size"].to_numpy(np.float64).copy(), len(names), edges["node"].map(at).to_numpy(np.int64), edges["other"].map(at).to_numpy(np.int64), edges["similarity"].to_numpy(np.float64), least)
-            return pd.DataFrame({"node": names, "cluster": names[label]})
-
-        # bounded: at most finish_links links and twice as many nodes
-        one = nodes.join(ends, "node", "left_semi").select(F.lit(0).alias("g"), "node", "size", "total").groupBy("g")
-        last = one.cogroup(ranked.select(F.lit(0).alias("g"), "node", "other", "similarity").groupBy("g")).applyInPandas(run, f"node {id_type}, cluster {id_type}")
-        labels = labels.join(last, "node", "left").select("name", F.coalesce("cluster", "node").alias("cluster"))
-    else:
-        labels = labels.select("name", F.col("node").alias("cluster"))
-    return stage(classes.join(labels, "name").select("class", "ids", "vector", "size", "cluster"), "clusters"), members
-
-
-def cluster_means(classes: DataFrame, dimension: int = 64) -> DataFrame:
-    """(cluster, size, total): number of members and sum of unit vectors, summed within tasks before the shuffle."""
-    id_type = classes.schema["cluster"].dataType.simpleString()
-
-    arrow = to_arrow_type(classes.schema["cluster"].dataType)
-
-    def sums(batches: Iterator[pa.RecordBatch], of_units: bool) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            weight = batch["size"].to_numpy()
-            x = _matrix(batch["total"], dimension).astype(np.float64)
-            if of_units:
-                x = _unit(x) * weight[:, None]
-            names, of = np.unique(batch["cluster"].to_numpy(zero_copy_only=False), return_inverse=True)
-            total = np.zeros((len(names), dimension))
-            np.add.at(total, of, x)
-            size = np.bincount(of, weight, len(names))
-            for i, name in enumerate(names):
-                n, t = held.get(name, (0, 0.0))
-                held[name] = (n + int(size[i]), t + total[i])
-            if len(held) > 50_000:
-                yield from out(held)
-                held = {}
-        yield from out(held)
-
-    def out(held: dict) -> Iterator[pa.RecordBatch]:
-        if held:
-            values = np.concatenate([t for _, t in held.values()]).astype(np.float64)
-            yield pa.record_batch({"cluster": pa.array(list(held), arrow), "size": pa.array([n for n, _ in held.values()], pa.int64()), "total": pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dimension, dtype=np.int32)), pa.array(values))})
-
-    schema = f"cluster {id_type}, size bigint, total array<double>"
-    rows = classes.select("cluster", "size", F.col("vector").alias("total"))
-    within = rows.mapInArrow(lambda batches: sums(batches, True), schema)
-    return within.repartition("cluster").mapInArrow(lambda batches: sums(batches, False), schema)
+        up = stage(up, "merges")
+        for _ in range((len(rounds) - 1).bit_length()):
+            above = up.select(F.col("old").alias("node"), F.col("node").alias("above"))
+            up = up.join(above, "node", "left").select("old", F.coalesce("above", "node").alias("node"))
+        fragments = stage(fragments.join(up, F.col("fragment") == F.col("old"), "left").select("fragment", F.coalesce("node", "fragment").alias("cluster")), "fragments")
+    sums = rounds[-1].filter("total is not null").select(F.col("node").alias("cluster"), "size", "total")
+    named = classes.join(first, "name").join(fragments, "fragment").select("class", "ids", "vector", "size", "fragment", "cluster")
+    for now in rounds[1:-1]:
+        release(now)
+    return Clusters(stage(named, "clusters"), members, fragments, sums)
 
 
 def codebook(centroids: DataFrame, quantizer: str = "standard", version: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -303,65 +246,101 @@ def codebook(centroids: DataFrame, quantizer: str = "standard", version: int = 3
     return codes, _unit(np.array([r["centroid"] for r in rows], np.float64)) if rows else np.zeros((0, 0))
 
 
-def clustered_codes(classes: DataFrame, members: DataFrame, codes: np.ndarray, centroids: np.ndarray, least: float = 0.5, dimension: int = 64) -> DataFrame:
-    """(id, cluster, code, similarity): every clustered id, named by the centroid most similar to its vector.
+def _slabs(batches: Iterator[pa.RecordBatch], codes: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose products with all centroids stay within a few megabytes."""
+    step = max(1, min(4000, 1_000_000 // max(1, codes)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            yield whole.slice(at, step)
+
 
-    A cluster's mean nominates codes: by the triangle inequality of angles, the centroid nearest to a member is among
-    those whose angle to the mean exceeds the least such angle by no more than twice the member's own angle to it. The
-    exact cosines of the nominated ones decide; ties go to the lesser code, and below ``least`` there is no row.
+def most_like(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and cosine of the centroid most similar to each unit vector, the first of equal ones."""
+    s = x @ centroids.T
+    near = s >= s.max(axis=1, keepdims=True) - 1e-9
+    rows, columns = np.nonzero(near)
+    # sums in a fixed order, which no block size changes
+    exact = np.full(s.shape, -2.0)
+    exact[rows, columns] = (x[rows] * centroids[columns]).sum(axis=1)
+    best = exact.argmax(axis=1)
+    return best, exact[np.arange(len(x)), best]
+
+
+def named_clusters(sums: DataFrame, codes: np.ndarray, centroids: np.ndarray, dimension: int = 64) -> DataFrame:
+    """(cluster, size, place, value, radius, mean): the centroid most similar to each cluster's mean, and the angle to the mean within
+    which it is every member's: half of what the second nearest is further away, by the triangle inequality of angles."""
+    cluster_type = sums.schema["cluster"].dataType.simpleString()
+    shared = sums.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in _slabs(batches, len(c)):
+            mean = _sums(batch["total"], dimension)
+            mean /= np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-300)
+            place, value = most_like(mean, c)
+            s = mean @ c.T
+            s[np.arange(len(s)), place] = -1
+            second = s.max(axis=1) if s.shape[1] > 1 else np.full(len(s), -1.0)
+            radius = (np.arccos(np.clip(second, -1, 1)) - np.arccos(np.clip(value, -1, 1))) / 2 - 1e-7
+            yield pa.record_batch({"cluster": batch["cluster"], "size": batch["size"], "place": pa.array(place), "value": pa.array(value), "radius": pa.array(radius), "mean": _packed(mean)})
+
+    return sums.mapInArrow(run, f"cluster {cluster_type}, size bigint, place bigint, value double, radius double, mean binary")
+
+
+def clustered_codes(found: Clusters, codes: np.ndarray, centroids: np.ndarray, least: float = 0.5, dimension: int = 64) -> DataFrame:
+    """(id, cluster, code, similarity, by_cluster): every clustered id with the code of the centroid most similar to its vector.
+
+    A cluster is named once, by the centroid most similar to its mean. Members within the cluster's radius
+    (``named_clusters``) have its code by membership; for the others the name is a nomination that an exact check
+    against the codebook confirms or replaces (``by_cluster`` is false). Ties go to the lesser code; below ``least`` there is no row.
     """
-    context = classes.sparkSession.sparkContext
-    shared = context.broadcast((codes, centroids))
-    id_type = members.schema["id"].dataType.simpleString()
+    spark = found.classes.sparkSession
+    id_type, class_type, cluster_type = found.members.schema["id"].dataType.simpleString(), *(found.classes.schema[c].dataType.simpleString() for c in ("class", "cluster"))
+    if not len(codes):
+        return spark.createDataFrame([], f"id {id_type}, cluster {cluster_type}, code bigint, similarity double, by_cluster boolean")
+    shared = spark.sparkContext.broadcast((codes, centroids))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, c = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                batch = whole.slice(start, 4000)
-                x = _unit(_matrix(batch["vector"], dimension))
-                mean = _matrix(batch["total"], dimension)
-                mean = mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-300)
-                own = np.arccos(np.clip((x * mean).sum(axis=1, keepdims=True), -1, 1))
-                far = np.arccos(np.clip(mean @ c.T, -1, 1))
-                nominated = far <= far.min(axis=1, keepdims=True) + 2 * own + 1e-6
-                rows, columns = np.nonzero(nominated)
-                s = np.full(nominated.shape, -2.0)
-                for at in range(0, len(rows), 50_000):
-                    i, j = rows[at : at + 50_000], columns[at : at + 50_000]
-                    s[i, j] = (x[i] * c[j]).sum(axis=1)
-                best = s.argmax(axis=1)
-                value = s[np.arange(len(x)), best]
-                keep = value >= least
-                at = pa.array(np.flatnonzero(keep))
-                yield pa.record_batch({"class": batch["class"].take(at), "cluster": batch["cluster"].take(at), "code": pa.array(codes[best[keep]]), "similarity": pa.array(value[keep])})
-
-    class_type, cluster_type = (classes.schema[c].dataType.simpleString() for c in ("class", "cluster"))
-    if not len(codes):
-        return classes.sparkSession.createDataFrame([], f"id {id_type}, cluster {cluster_type}, code bigint, similarity double")
-    named = classes.join(cluster_means(classes, dimension).select("cluster", "total"), "cluster").select("class", "cluster", "vector", "total").mapInArrow(name, f"class {class_type}, cluster {cluster_type}, code bigint, similarity double")
-    return members.join(named, "class").select("id", "cluster", "code", "similarity")
-
-
-def described_clusters(classes: DataFrame, members: DataFrame, codes: np.ndarray, centroids: np.ndarray, typical: int = 3, least: float = 0.5, dimension: int = 64) -> DataFrame:
+        for batch in _slabs(batches, len(c)):
+            x = _unit(_matrix(batch["vector"], dimension))
+            own = np.arccos(np.clip((x * _sums(batch["mean"], dimension)).sum(axis=1), -1, 1))
+            place = batch["place"].to_numpy().copy()
+            inside = own < batch["radius"].to_numpy()
+            out = np.flatnonzero(~inside)
+            value = (x * c[place]).sum(axis=1)
+            if len(out):
+                place[out], value[out] = most_like(x[out], c)
+            keep = pa.array(np.flatnonzero(value >= least))
+            yield pa.record_batch({"class": batch["class"].take(keep), "cluster": batch["cluster"].take(keep), "code": pa.array(codes[place]).take(keep), "similarity": pa.array(value).take(keep), "by_cluster": pa.array(inside).take(keep)})
+
+    # fragments hold a bounded number of classes, so no key of this join is hot
+    by_fragment = found.fragments.join(named_clusters(found.sums, codes, centroids, dimension), "cluster").select("fragment", "place", "radius", "mean")
+    named = found.classes.join(by_fragment, "fragment").select("class", "cluster", "vector", "place", "radius", "mean").mapInArrow(name, f"class {class_type}, cluster {cluster_type}, code bigint, similarity double, by_cluster boolean")
+    return found.members.join(named, "class").select("id", "cluster", "code", "similarity", "by_cluster")
+
+
+def described_clusters(found: Clusters, codes: np.ndarray, centroids: np.ndarray, typical: int = 3, least: float = 0.5, dimension: int = 64) -> DataFrame:
     """(cluster, size, code, rank, id, similarity): every cluster's size, the code of the centroid most similar to its
     mean (null below ``least``), and its ``typical`` ids most similar to the mean, ties by id."""
-    context = classes.sparkSession.sparkContext
-    shared = context.broadcast((codes, centroids))
-    cluster_type, class_type = (classes.schema[c].dataType.simpleString() for c in ("cluster", "class"))
+    spark = found.classes.sparkSession
+    cluster_type, class_type = (found.classes.schema[c].dataType.simpleString() for c in ("cluster", "class"))
+    own = centroids if len(codes) else np.zeros((1, dimension))
+    code_of = F.lit(None).cast("bigint") if not len(codes) else F.when(F.col("value") >= least, F.element_at(F.array(*[F.lit(int(c)) for c in codes]), F.col("place").cast("int") + 1)) if len(codes) <= 1000 else None
+    named = named_clusters(found.sums, codes, own, dimension)
+    if code_of is None:
+        table = spark.createDataFrame(list(enumerate(codes.tolist())), "place bigint, code bigint")
+        named = named.join(table, "place").withColumn("code", F.when(F.col("value") >= least, F.col("code")))
+    else:
+        named = named.withColumn("code", code_of)
+    named = named.withColumn("code", F.col("code").cast("bigint"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c = shared.value
-        for batch in batches:
-            x, mean = _unit(_matrix(batch["vector"], dimension)), _matrix(batch["total"], dimension)
-            mean = mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-300)
-            code = [None] * len(x)
-            if len(codes):
-                s = mean @ c.T
-                code = [int(codes[j]) if v >= least else None for j, v in zip(s.argmax(axis=1), s.max(axis=1), strict=True)]
-            yield pa.record_batch({"class": batch["class"], "cluster": batch["cluster"], "size": batch["size"], "code": pa.array(code, pa.int64()), "similarity": pa.array((x * mean).sum(axis=1))})
-
-    means = cluster_means(classes, dimension)
-    rows = classes.select("class", "cluster", "vector").join(means, "cluster").select("class", "cluster", "vector", "size", "total").mapInArrow(compare, f"class {class_type}, cluster {cluster_type}, size bigint, code bigint, similarity double")
+        for batch in _slabs(batches, 1):
+            x = _unit(_matrix(batch["vector"], dimension))
+            yield pa.record_batch({"class": batch["class"], "cluster": batch["cluster"], "size": batch["size"], "code": batch["code"], "similarity": pa.array((x * _sums(batch["mean"], dimension)).sum(axis=1))})
+
+    by_fragment = found.fragments.join(named, "cluster").select("fragment", F.col("size").alias("n"), "code", "mean")
+    rows = found.classes.join(by_fragment, "fragment").select("class", "cluster", "vector", F.col("n").alias("size"), "code", "mean").mapInArrow(compare, f"class {class_type}, cluster {cluster_type}, size bigint, code bigint, similarity double")
     order = Window.partitionBy("cluster").orderBy(F.desc("similarity"), "id")
-    return members.join(rows, "class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select("cluster", "size", "code", "rank", "id", "similarity")
+    return found.members.join(rows, "class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select("cluster", "size", "code", "rank", "id", "similarity")

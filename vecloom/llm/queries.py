@@ -53,13 +53,12 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, members = similarity_clusters(table(spark, sf_dir, "store_items"))
-    return clustered_codes(classes, members, *codebook(table(spark, sf_dir, "centroids"))).select("id", "code")
+    found = similarity_clusters(table(spark, sf_dir, "store_items"))
+    return clustered_codes(found, *codebook(table(spark, sf_dir, "centroids"))).select("id", "code")
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, members = similarity_clusters(table(spark, sf_dir, "store_items"))
-    return described_clusters(classes, members, *codebook(table(spark, sf_dir, "centroids")))
+    return described_clusters(similarity_clusters(table(spark, sf_dir, "store_items")), *codebook(table(spark, sf_dir, "centroids")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
