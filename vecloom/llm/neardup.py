@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.repetition import words
-from vecloom.runtime import components, dense_summary, slices, stage
+from vecloom.runtime import components, dense_summary, shuffle_partitions, slices, stage
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,10 @@ class Similarity:
 #: Cells of the frequency table that orders shingles, and its levels a doubling of the frequency.
 ORDER_CELLS = 1 << 20
 _LEVELS = 8
-#: Classes whose tokens one task has already emitted are remembered up to this many, to combine copies early.
+#: Classes whose tokens one task has already emitted are remembered up to this many, to combine copies early. It only changes the work.
 _REMEMBERED = 200_000
+#: Bytes of a token in a shuffle, and of the tokens of one partition.
+_TOKEN, _PARTITION = 22, 6_000_000
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,6 +100,29 @@ def overlap_bound(a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
     return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
+def overlap_bounds(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray) -> np.ndarray:
+    """``overlap_bound`` of many pairs, those of the same two widths together."""
+    out = np.zeros(len(a), np.int64)
+    widths = np.array([len(x) for x in a]) * (1 << 32) + np.array([len(x) for x in b])
+    for w in np.unique(widths) if len(a) else ():
+        at = np.flatnonzero(widths == w)
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[at] = (n[at] + m[at] - np.bitwise_count(x ^ y).sum(axis=1)) // 2
+    return out
+
+
+def size_bands(least: float, largest: int = 1 << 31) -> np.ndarray:
+    """First size of each band: sets of similarity ``least`` or more are in the same or in neighbouring bands."""
+    edges = [1, 2]
+    while edges[-1] <= largest:
+        edges.append(max(edges[-1] + 1, int((edges[-1] - 1) / least + 1e-6) + 1))
+    return np.array(edges, np.int64)
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays without repeats."""
     if len(a) > len(b):
@@ -112,7 +137,7 @@ class NearDuplicates:
     """What a near-duplicate join found.
 
     ``members``: (id, class), a class being all rows with the same set of shingles; ``pairs``: (class_a,
-    class_b, similarity) of different similar classes, class_a < class_b.
+    class_b, similarity) of different similar classes, each pair once.
     """
 
     members: DataFrame
@@ -122,112 +147,118 @@ class NearDuplicates:
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity = Similarity()) -> NearDuplicates:
     """Exact join of all pairs of similar texts, as pairs of classes of equal sets.
 
-    1. A frequency table of fixed size counts the shingles of all texts; it only orders them, rare first.
-    2. Every class sends its rarest shingles (all but so many that a similar set must meet one) to tiles,
-       keyed by shingle; a tile's rows of the same and the neighbouring size bands meet. A meeting passes
-       if sizes, places in the order and the bit counts of 64-bit signatures allow enough in common. Copies
-       are combined within each task before the shuffle; hot tiles are split by the adaptive join.
-    3. Bitmaps as wide as the size band, a few bits a shingle, bound each meeting's overlap from above.
-    4. Only texts of classes that pass move again; intersecting the sorted arrays decides.
+    1. Texts are read once, into sorted sets of hashed shingles with their bitmaps.
+    2. A frequency table of fixed size counts the shingles of all sets; it only orders them, rare first.
+    3. Every class sends its rarest shingles (all but so many that a similar set must meet one) to tiles of its size band,
+       and fewer of them, which is enough to meet larger sets, to the tiles of the next band: a tile is a band and a
+       shingle. A meeting passes if sizes, places in the order and the bit counts of 64-bit signatures allow enough in
+       common. Copies are combined within each task before the shuffle; hot tiles are split by the adaptive join.
+    4. Bitmaps as wide as the size band, a few bits a shingle, bound each meeting's overlap from above.
+    5. Only sets of classes that pass move again; intersecting the sorted arrays decides.
 
-    No pair is lost: every bound holds for any order and any hash (two of a text's shingles meeting in 64
+    No pair is lost: every bound holds for any order and any hash (two of a text's shingles, or two sets, meeting in 64
     bits aside). Null, empty and short texts are in no class. Repeated rows and repeated texts share a class.
     An id may occur several times; then the id stands for all its rows. An empty table gives empty results.
     Other columns are not read, whatever their names.
     """
+    spark = df.sparkSession
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     least, size, least_words = how.least, how.shingle, how.least_words
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray | None]]]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size, least_words)
         for batch in batches:
             for a, b in slices(batch["text"]):
                 part = batch.slice(a, b - a)
-                yield part["id"], [shingler(t) for t in part["text"].to_pylist()]
+                found = [shingler(t) for t in part["text"].to_pylist()]
+                keep = [i for i, s in enumerate(found) if s is not None]
+                some = [found[i] for i in keep]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in some]
+                columns = {"id": part["id"].take(pa.array(keep, pa.int64())), "class": pa.array(digests, pa.binary()), "key": pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64)), "n": pa.array([len(s) for s in some], pa.int32())}
+                columns |= {"signature": pa.array(np.array([bitmap(s, 64)[0] for s in some], np.uint64).view(np.int64)), "bitmap": pa.array([bitmap(s, band_bits(len(s))).tobytes() for s in some], pa.binary()), "shingles": pa.array([s.tobytes() for s in some], pa.binary())}
+                yield pa.record_batch(columns)
+
+    sets = stage(source.mapInArrow(describe, f"id {id_type}, class binary, key bigint, n int, signature bigint, bitmap binary, shingles binary"), "sets")
+    members = sets.select("id", "class")
+
+    def flat(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
 
     def count(batches: Iterable[pa.RecordBatch], cells: np.ndarray) -> None:
-        for _, found in sets(batches):
-            some = [s for s in found if s is not None]
-            if some:
-                cells += np.bincount((np.concatenate(some) & np.uint64(ORDER_CELLS - 1)).astype(np.int64), minlength=ORDER_CELLS)
+        for batch in batches:
+            for a, b in slices(batch["shingles"], 16_000_000):
+                cells += np.bincount((flat(batch["shingles"].slice(a, b - a)) & np.uint64(ORDER_CELLS - 1)).astype(np.int64), minlength=ORDER_CELLS)
 
-    frequency = dense_summary(source, count, ORDER_CELLS)
-    order = df.sparkSession.sparkContext.broadcast(np.minimum(255, np.log2(frequency + 1.0) * _LEVELS).astype(np.uint8))
+    frequency = dense_summary(sets.select("shingles"), count, ORDER_CELLS)
+    order = spark.sparkContext.broadcast(np.minimum(255, np.log2(frequency + 1.0) * _LEVELS).astype(np.uint8))
+    edges = size_bands(least)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value
         seen: set[bytes] = set()
-        for _, found in sets(batches):
-            keep = [i for i, s in enumerate(found) if s is not None]
-            if not keep:
-                continue
-            digests = [xxhash.xxh3_128_digest(found[i].tobytes()) for i in keep]
-            rows, tiles, places = [], [], []
-            for row, i in enumerate(keep):
-                s = found[i]
-                if digests[row] in seen:
-                    continue
-                if len(seen) < _REMEMBERED:
-                    seen.add(digests[row])
-                n = len(s)
-                prefix = n - int(np.ceil(least * n - 1e-9)) + 1
-                rarest = np.lexsort((s, level[(s & np.uint64(ORDER_CELLS - 1)).astype(np.int64)]))[:prefix]
-                rows.append(np.full(prefix, row))
-                tiles.append(s[rarest])
-                places.append(np.arange(prefix))
-            n_of = np.array([len(found[i]) for i in keep], np.int32)
-            signature = np.array([bitmap(found[i], 64)[0] for i in keep], np.uint64).view(np.int64)
-            class_of = pa.array(digests, pa.binary())
-            nothing = np.zeros(0, np.int64)
-            at = np.concatenate(rows) if rows else nothing
-            yield pa.record_batch({"tile": pa.array((np.concatenate(tiles) if rows else nothing.astype(np.uint64)).view(np.int64)), "class": class_of.take(pa.array(at)), "n": pa.array(n_of[at]), "place": pa.array((np.concatenate(places) if rows else nothing).astype(np.int32)), "signature": pa.array(signature[at])})
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in sets(batches):
-            keep = [i for i, s in enumerate(found) if s is not None]
-            yield pa.record_batch({"id": ids.take(pa.array(keep, pa.int64())), "class": pa.array([xxhash.xxh3_128_digest(found[i].tobytes()) for i in keep], pa.binary()), "n": pa.array([len(found[i]) for i in keep], pa.int32()), "bitmap": pa.array([bitmap(found[i], band_bits(len(found[i]))).tobytes() for i in keep], pa.binary())})
-
-    described = stage(source.mapInArrow(classes, f"id {id_type}, class binary, n int, bitmap binary"), "members")
-    members = described.select("id", "class")
-
-    entry = source.mapInArrow(tokens, "tile bigint, class binary, n int, place int, signature bigint")
+        for whole in batches:
+            for a, b in slices(whole["shingles"], 4_000_000):
+                part = whole.slice(a, b - a)
+                fresh = []
+                for i, digest in enumerate(part["class"].to_pylist()):
+                    if digest not in seen:
+                        fresh.append(i)
+                        if len(seen) < _REMEMBERED:
+                            seen.add(digest)
+                part = part.take(pa.array(fresh, pa.int64()))
+                n = part["n"].to_numpy().astype(np.int64)
+                s = flat(part["shingles"])
+                row = np.repeat(np.arange(len(n)), n)
+                # shingles are sorted within a row, so a stable sort by level leaves ties in one order everywhere
+                rare = np.argsort(row * 256 + level[(s & np.uint64(ORDER_CELLS - 1)).astype(np.int64)], kind="stable")
+                place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                home = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]
+                guest = place < (n - np.ceil(2 * least / (1 + least) * n - 1e-9).astype(np.int64) + 1)[row]
+                band = np.searchsorted(edges, n, side="right") - 1
+                for of_guest, chosen in ((0, home), (1, guest)):
+                    at = row[chosen]
+                    tile = _mixed(s[rare[chosen]] + (band[at] + of_guest).astype(np.uint64) * _P1)
+                    take = pa.array(at)
+                    yield pa.record_batch({"tile": pa.array(tile.view(np.int64)), "key": part["key"].take(take), "n": part["n"].take(take), "place": pa.array(place[chosen].astype(np.int32)), "guest": pa.array(np.full(len(at), of_guest, np.int32)), "signature": part["signature"].take(take)})
+
+    entry = sets.select("class", "key", "n", "signature", "shingles").mapInArrow(tokens, "tile bigint, key bigint, n int, place int, guest int, signature bigint")
     a, b = entry.alias("a"), entry.alias("b")
     need = how.overlap(F.col("a.n"), F.col("b.n"))
     meets = (
         (F.col("a.tile") == F.col("b.tile"))
-        & (F.col("a.class") < F.col("b.class"))
+        # one of the two is at home; said of both sides together, so that both read one exchange
+        & (F.col("a.guest") + 2 * F.col("b.guest") < 2)
+        & ((F.col("a.guest") + F.col("b.guest") == 1) | (F.col("a.key") < F.col("b.key")))
         & (F.least("a.n", "b.n") >= F.ceil(F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
         & (1 + F.least(F.expr("a.n - a.place - 1"), F.expr("b.n - b.place - 1")) >= need)
         & (F.expr("(a.n + b.n - bit_count(a.signature ^ b.signature)) div 2") >= need)
     )
-    # both sides of the self-join read one exchange, so every tile row moves once
-    met = stage(a.hint("merge").join(b.hint("merge"), meets).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct(), "met")
+    rows = int(frequency.sum()) * (1 - least) * (1 + 1 / (1 + least))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # as many partitions as the tokens fill, so that the largest task doesn't grow with the table
+    spark.conf.set("spark.sql.shuffle.partitions", max(shuffle_partitions(spark), int(rows * _TOKEN / _PARTITION)))
+    try:
+        met = stage(a.hint("merge").join(b.hint("merge"), meets).select(F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")).distinct(), "met")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            columns = [batch[c].to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b")]
-            for i, (n, m, x, y) in enumerate(zip(*columns, strict=True)):
-                if overlap_bound(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m) >= int(np.ceil(least / (1 + least) * (n + m) - 1e-9)):
-                    keep.append(i)
-            yield batch.select(["class_a", "class_b"]).take(pa.array(keep, pa.int64()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5000):
+                batch = whole.slice(at, 5000)
+                n, m = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+                most = overlap_bounds(batch["bitmap_a"].to_pylist(), n, batch["bitmap_b"].to_pylist(), m)
+                keep = np.flatnonzero(most >= np.ceil(least / (1 + least) * (n.astype(np.float64) + m) - 1e-9))
+                yield batch.select(["class_a", "class_b"]).take(pa.array(keep))
 
     # a bitmap takes a few bits a shingle, an array 64: what the bit counts rule out never moves as arrays
-    signed = described.select("class", "n", "bitmap").dropDuplicates(["class"])
-    side = lambda x: signed.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "bitmap")])
-    met = stage(met.join(side("a"), "class_a").join(side("b"), "class_b").mapInArrow(bounded, "class_a binary, class_b binary"), "possible")
-
-    wanted = met.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    speakers = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in sets(batches):
-            keep = [i for i, s in enumerate(found) if s is not None]
-            yield pa.record_batch({"class": pa.array([xxhash.xxh3_128_digest(found[i].tobytes()) for i in keep], pa.binary()), "shingles": pa.array([found[i].tobytes() for i in keep], pa.binary())})
+    signed = sets.select("class", "key", "n", "bitmap").dropDuplicates(["class"])
+    side = lambda x: signed.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "key", "n", "bitmap")])
+    possible = stage(met.join(side("a"), "key_a").join(side("b"), "key_b").select("class_a", "class_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bounded, "class_a binary, class_b binary"), "possible")
 
-    # an id may have several rows with different texts: the class is computed again, and repeats are dropped
-    known = stage(source.join(speakers, "id", "left_semi").mapInArrow(arrays, "class binary, shingles binary").dropDuplicates(["class"]), "arrays")
+    wanted = possible.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    known = stage(sets.join(wanted, "class", "left_semi").select("class", "shingles").dropDuplicates(["class"]), "arrays")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
             at = pa.array(keep, pa.int64())
             yield pa.record_batch({"class_a": batch["class_a"].take(at), "class_b": batch["class_b"].take(at), "similarity": pa.array(similarity, pa.float64())})
 
-    both = met.join(known.select(F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "class_a").join(known.select(F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "class_b")
+    both = possible.join(known.select(F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "class_a").join(known.select(F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "class_b")
     pairs = stage(both.select("class_a", "class_b", "shingles_a", "shingles_b").mapInArrow(verify, "class_a binary, class_b binary, similarity double"), "pairs")
     return NearDuplicates(members, pairs)
 
