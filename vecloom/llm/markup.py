@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button canvas cite code data datalist del dfn em font i iframe ins kbd label map mark meter nobr noscript object output picture progress q rp rt ruby s samp script select slot small span strike strong style sub sup svg template textarea time tt u var video audio".split())
 ELEMENTS = VOID | BLOCK | INLINE
+MATH = frozenset("math semantics annotation mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mspace mstyle".split())
 INVISIBLE = frozenset("head script style template title noscript datalist iframe object audio video canvas svg".split())
 BOOLEAN = frozenset("allowfullscreen async autofocus autoplay checked compact controls default defer disabled formnovalidate hidden inert ismap itemscope loop multiple muted nomodule noshade novalidate nowrap open playsinline readonly required reversed selected".split())
 #: A start tag of the key ends an open element of the values, up to one of the scope below.
@@ -47,13 +49,14 @@ ENVIRONMENT_TABLES = frozenset("tabular tabularx array longtable".split())
 ENVIRONMENT_FORMULAS = frozenset("equation align gather multline eqnarray math displaymath alignat flalign".split())
 ENVIRONMENT_CODE = frozenset("verbatim lstlisting minted".split())
 
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
+_TAG = re.compile(r"<(/?)([A-Za-z][-A-Za-z0-9]*)((?:\s+[A-Za-z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 _NO_COMMENT = re.compile(r"<![Dd][Oo][Cc][Tt][Yy][Pp][Ee][^<>]*>|" + _TAG.pattern, re.S)
 _HTML_TOKEN = re.compile(r"<!--.*?-->|" + _NO_COMMENT.pattern, re.S)
-_END_TAG = re.compile(r"</([A-Za-z][A-Za-z0-9]*)\s*>")
-#: Elements within elements up to this depth; what is deeper stays at it.
-_DEPTH = 100
+_END_TAG = re.compile(r"</([A-Za-z][-A-Za-z0-9]*)\s*>")
+_START_TAG = re.compile(r"<([A-Za-z][-A-Za-z0-9]*)[\s/>]")
+#: Depth from which indentation grows no further, or it would outgrow the text; depth itself has no limit.
+_INDENTS = 40
 _REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^`~\n]*)$")
@@ -77,16 +80,20 @@ _EMPHASIS = [
 
 _WIKI_LINK = re.compile(r"\[\[([^\[\]|\n]+)((?:\|[^\[\]|\n]*)*)\]\]")
 _WIKI_STRONG = re.compile(r"'''''(?=\S)(.+?)'''''|'''(?=\S)(.+?)'''(?!')|''(?=[^\s'])(.+?)''(?!')")
-_TEMPLATE = re.compile(r"\{\{([^{}|\n]+)((?:\|[^{}|]*)*)\}\}")
+_BRACES = re.compile(r"\{\{|\}\}")
 _WIKI_TABLE = re.compile(r"^\{\|[^\n]*\n(.*?)^\|\}[ \t]*$", re.M | re.S)
 
-_BEGIN = re.compile(r"\\begin\{([A-Za-z]+)(\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
-_DISPLAY = re.compile(r"\$\$(?=\s*[^\s$])([^$]{1,2000}?)\$\$|\\\[(.{1,2000}?)\\\]", re.S)
-_INLINE_MATH = re.compile(r"\\\((.{1,500}?)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]{1,300}?)(?<=\S)\$(?![\w$])", re.S)
+_ENVIRONMENT = re.compile(r"\\begin\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?|\\end\{([A-Za-z]+\*?)\}")
+_DISPLAY = re.compile(r"\$\$(?=\s*[^\s$])([^$]+)\$\$|\\\[((?:(?!\\[\[\]]).)+)\\\]", re.S)
+_INLINE_MATH = re.compile(r"\\\(((?:(?!\\[()]).)+)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]+)(?<=\S)\$(?![\w$])", re.S)
 _MATH_SIGN = re.compile(r"[\\^_={}+<>|]|^[A-Za-z]$")
-_GROUP = re.compile(r"\{\\(em|bf|it|tt|sc|large|small)\b[ ]*([^{}]*)\}")
-_SECTION = re.compile(r"^[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}[ \t]*$")
-_COMMAND = re.compile(r"(?<![A-Za-z0-9:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?((?:\{[^{}\n]*\})*)")
+_SWITCH = re.compile(r"\\(?:em|bf|it|tt|sc|large|small)\b ?")
+_SECTION = re.compile(r"^[ \t]*\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{(.*)\}[ \t]*$")
+_COMMAND = re.compile(r"(?<![:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?")
+_COMMAND_TOKEN = re.compile(_COMMAND.pattern + r"|\\.|[{}]", re.S)
+_DROPPED = frozenset("label begin end usepackage documentclass input include includegraphics maketitle centering noindent hline".split())
+_CITED = frozenset("ref eqref pageref cite citep citet".split())
+_SOURCE = frozenset("frac dfrac tfrac binom sqrt".split())
 _ANY_SIGN = re.compile(r"[<&*_`~#\[{|\\$=']|^[ \t]*(?:[-+>]|\d+[.)])[ \t]|^ {0,3}-{3}", re.M)
 _PLACE = re.compile("\x00(\\d+)\x00")
 
@@ -123,7 +130,9 @@ def _aligned(rows: list[list[str]]) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
 
 
-def _indented(text: str, first: str) -> str:
+def _indented(text: str, first: str, depth: int = 0) -> str:
+    if depth >= _INDENTS:
+        return first.lstrip() + text
     rest = " " * len(first)
     return "\n".join((first if i == 0 else rest if line else "") + line for i, line in enumerate(text.split("\n")))
 
@@ -184,16 +193,19 @@ class Reader:
 
     # HTML: a tree with implied end tags, then its visible part
 
-    def _is_tag(self, m: re.Match, text: str, ends: dict[str, int]) -> bool:
+    def _is_tag(self, m: re.Match, text: str, ends: dict[str, int], starts: dict[str, int]) -> bool:
         closing, name, attributes = m[1], m[2].lower(), m[3]
         if name not in ELEMENTS:
+            # of other names, only elements that begin and end
+            return (name in MATH or "-" in name) and (starts.get(name, len(text)) < m.start() if closing else bool(m[4]) or ends.get(name, -1) >= m.end())
+        closed = ends.get(name, -1) >= m.end()
+        named = [(a[1], a[2]) for a in _ATTRIBUTE.finditer(attributes)]
+        # words in angle brackets may be prose: attributes without values count if anything else says that this is a tag
+        if not closed and all(value is None for _, value in named) and any(a.lower() not in BOOLEAN and "-" not in a for a, _ in named):
             return False
-        for a in _ATTRIBUTE.finditer(attributes):
-            if a[2] is None and a[1].lower() not in BOOLEAN:
-                return False
         before = text[m.start() - 1] if m.start() else " "
         # a type parameter looks like a start tag: it follows a name at once and is never closed
-        return not (not closing and not attributes.strip() and name not in VOID and name not in OPTIONAL_END and (before.isalnum() or before == "_") and ends.get(name, -1) < m.end())
+        return not (not closing and not attributes.strip() and name not in VOID and name not in OPTIONAL_END and (before.isalnum() or before == "_") and not closed)
 
     def _html(self, text: str) -> list[Block] | None:
         root = Node("", {})
@@ -202,10 +214,13 @@ class Reader:
         raw: str | None = None
         seen = 0
         ends_at = {m[1].lower(): m.start() for m in _END_TAG.finditer(text)}
+        starts_at: dict[str, int] = {}
+        for m in _START_TAG.finditer(text):
+            starts_at.setdefault(m[1].lower(), m.start())
         # behind the last end of a comment, nothing begins one
         comments = text.rfind("-->") + 3 if "-->" in text else 0
         for m in chain(_HTML_TOKEN.finditer(text, 0, comments), _NO_COMMENT.finditer(text, comments)):
-            if m[2] is not None and not self._is_tag(m, text, ends_at):
+            if m[2] is not None and not self._is_tag(m, text, ends_at, starts_at):
                 continue
             if raw is not None and not (m[2] and m[1] and m[2].lower() == raw):
                 continue
@@ -231,11 +246,16 @@ class Reader:
                     del stack[i:]
                 elif stack[i].tag in SCOPE:
                     break
-            if name in BLOCK and stack[-1].tag == "p":
-                stack.pop()
+            if name in BLOCK:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == "p":
+                        del stack[i:]
+                        break
+                    if stack[i].tag in BLOCK:
+                        break
             node = Node(name, {a[1].lower(): (a[2] or "").strip("\"'") for a in _ATTRIBUTE.finditer(m[3])})
             stack[-1].children.append(node)
-            if name not in VOID and not m[4] and len(stack) < _DEPTH:
+            if name not in VOID and not m[4]:
                 stack.append(node)
                 raw = name if name in ("script", "style", "textarea") else None
         self.found["html"] += seen
@@ -284,8 +304,8 @@ class Reader:
         flush()
         return out
 
-    def _text(self, node: Node) -> str:
-        return _join(self._blocks(node.children)).strip()
+    def _text(self, node: Node, depth: int = 0) -> str:
+        return _join(self._blocks(node.children, depth)).strip()
 
     def _block(self, node: Node, depth: int) -> list[Block]:
         tag = node.tag
@@ -314,30 +334,28 @@ class Reader:
                     inner = self._blocks(child.children, depth + 1)
                     if not any(isinstance(c, Node) and c.tag == "p" for c in child.children):
                         inner = [Block(x.text, False) for x in inner]
-                    items.append(Block(_indented(_join(inner).strip(), f"{number}. " if tag == "ol" else "- "), False))
+                    items.append(Block(_indented(_join(inner).strip(), f"{number}. " if tag == "ol" else "- ", depth), False))
                     number += 1
             return [Block(_join(items), depth == 0)] if items else []
         if tag == "table":
-            rows: list[list[str]] = []
-
-            def walk(n: Node) -> None:
-                for c in n.children:
-                    if isinstance(c, str) or self._hidden(c):
-                        continue
-                    if c.tag == "tr":
-                        rows.append([self._text(x) for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")])
-                    elif c.tag in ("td", "th"):
-                        rows.append([self._text(c)])
-                    else:
-                        walk(c)
-
-            walk(node)
+            rows: list[list[Node]] = []
+            open_ = list(reversed(node.children))
+            while open_:
+                c = open_.pop()
+                if isinstance(c, str) or self._hidden(c):
+                    continue
+                if c.tag == "tr":
+                    rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")])
+                elif c.tag in ("td", "th"):
+                    rows.append([c])
+                else:
+                    open_.extend(reversed(c.children))
             caption = [Block(self._text(c)) for c in node.children if isinstance(c, Node) and c.tag == "caption"]
-            return caption + ([Block(self._keep(Block(_aligned(rows))))] if rows else [])
+            return caption + ([Block(self._keep(Block(_aligned(self._grid(rows)))))] if rows else [])
         if tag == "blockquote":
-            return [Block(_indented(self._text(node), "  "))]
+            return [Block(_indented(self._text(node, depth + 1), "  ", depth))]
         if tag == "dd":
-            return [Block(_indented(self._text(node), "    "), False)]
+            return [Block(_indented(self._text(node, depth + 1), "    ", depth), False)]
         if tag == "hr":
             return []
         inner = self._blocks(node.children, depth)
@@ -345,6 +363,30 @@ class Reader:
             return [Block(_join(inner), False)]
         return inner
 
+    def _grid(self, rows: list[list[Node]]) -> list[list[str]]:
+        """Cells in their columns: a cell over several columns or rows leaves the other places empty."""
+
+        def span(cell: Node, name: str) -> int:
+            value = cell.attributes.get(name, "")
+            # the public standard's greatest values
+            return min(max(1, int(value)), 1000) if re.fullmatch(r"\d{1,9}", value) else 1
+
+        out: list[list[str]] = []
+        taken: dict[int, int] = {}
+        for row in rows:
+            line: list[str] = []
+            below: dict[int, int] = {}
+            for cell in row:
+                while taken.get(len(line), 0):
+                    line.append("")
+                wide, high = span(cell, "colspan"), span(cell, "rowspan")
+                if high > 1:
+                    below |= {len(line) + i: high for i in range(wide)}
+                line += [self._text(cell)] + [""] * (wide - 1)
+            out.append(line)
+            taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        return out
+
     def _references(self, text: str) -> str:
         def one(m: re.Match) -> str:
             if m[0][1] != "#" and m[0][1:] not in html5:
@@ -356,10 +398,13 @@ class Reader:
 
     # Markdown, wiki and LaTeX, by lines
 
-    def _flow(self, text: str, depth: int = 0) -> list[Block]:
+    def _flow(self, text: str, depth: int = 0, environments: bool = True) -> list[Block]:
+        if environments and "\\begin{" in text:
+            text = self._environments(text)
         if "\\" in text or "$$" in text:
-            text = self._environments(text, depth)
             text = _DISPLAY.sub(self._display, text)
+        if "{{" in text and "}}" in text:
+            text = self._templates(self._formulas(text))
         if "{|" in text and "|}" in text:
             text = _WIKI_TABLE.sub(self._wiki_table, text)
         lines = text.split("\n")
@@ -382,7 +427,7 @@ class Reader:
             elif (m := _PLACE.fullmatch(line.strip())) and self.kept[int(m[1])].loose:
                 flush()
                 out.append(Block(line.strip()))
-            elif (m := _WIKI_HEADING.match(line)) and len(m[2]) < 200:
+            elif m := _WIKI_HEADING.match(line):
                 flush()
                 self.found["wiki"] += 1
                 out.append(Block(self._inline(m[2])))
@@ -422,18 +467,23 @@ class Reader:
                     i += 1
                 i -= 1
                 self.found["markdown"] += 1
-                out.append(Block(_indented(_join(self._flow("\n".join(quoted), depth + 1)), "  ")))
+                out.append(Block(_indented(_join(self._flow("\n".join(quoted), depth + 1)), "  ", depth)))
             elif _BULLET.match(line) or self._numbered(lines, i):
                 flush()
                 items = []
                 while i < len(lines) and (_BULLET.match(lines[i]) or self._numbered(lines, i)):
                     if b := _BULLET.match(lines[i]):
-                        mark = {" ": "[ ] ", "x": "[x] ", "X": "[x] "}.get(b[3] or "", "")
-                        items.append(Block(" " * len(b[1].expandtabs(4)) + "- " + mark + self._inline(b[4]), False))
+                        mark = {" ": "- [ ] ", "x": "- [x] ", "X": "- [x] "}.get(b[3] or "", "- ")
+                        indent, body = len(b[1].expandtabs(4)), b[4]
                     else:
                         n = _NUMBER.match(lines[i])
-                        items.append(Block(" " * len(n[1].expandtabs(4)) + f"{n[2]}. " + self._inline(n[4]), False))
+                        indent, mark, body = len(n[1].expandtabs(4)), f"{n[2]}. ", n[4]
                     i += 1
+                    # indented lines that begin nothing of their own go on with the item
+                    while i < len(lines) and (c := lines[i].expandtabs(4)).strip() and len(c) - len(c.lstrip()) >= indent + 2 and not (_BULLET.match(lines[i]) or _NUMBER.match(lines[i]) or _PLACE.fullmatch(c.strip())):
+                        body += "\n" + c.strip()
+                        i += 1
+                    items.append(Block(" " * indent + _indented(self._inline(body), mark).replace("\n", "\n" + " " * indent), False))
                 i -= 1
                 self.found["markdown"] += len(items)
                 out.append(Block(_join(items)))
@@ -459,22 +509,52 @@ class Reader:
         self.found["latex"] += 1
         return "\n" + self._keep(Block(source)) + "\n"
 
-    def _environments(self, text: str, depth: int) -> str:
-        """Environments from their begin to the first end of that name; deeper than the limit they stay as text."""
-        out: list[str] = []
+    def _environments(self, text: str) -> str:
+        """Environments from the innermost out, in one pass; a begin or an end without the other stays as it is."""
+        last = {m[2]: m.start() for m in _ENVIRONMENT.finditer(text) if m[2]}
+        # of every open environment its name, where its source and body begin, and what came of its body so far
+        open_: list[tuple[str, int, int, list[str]]] = [("", 0, 0, [])]
+        names: dict[str, int] = {}
         at = 0
-        last: dict[str, int] = {}
-        for m in _BEGIN.finditer(text) if depth < _DEPTH // 4 else ():
-            end = f"\\end{{{m[1]}{m[2]}}}"
-            if m.start() < at or last.setdefault(end, text.rfind(end)) < m.end():
+        for m in _ENVIRONMENT.finditer(text):
+            if m.start() < at:
+                continue
+            name = m[1] or m[2]
+            open_[-1][3].append(text[at : m.start()])
+            at = m.end()
+            if m[1]:
+                if last.get(name, -1) < m.end():
+                    open_[-1][3].append(m[0])
+                elif name.rstrip("*") in ENVIRONMENT_CODE:
+                    # nothing is read inside
+                    end = f"\\end{{{name}}}"
+                    stop = text.index(end, m.end())
+                    open_[-1][3].append("\n" + self._environment(name, text[m.end() : stop], len(open_)) + "\n")
+                    at = stop + len(end)
+                else:
+                    open_.append((name, m.start(), m.end(), []))
+                    names[name] = names.get(name, 0) + 1
+                continue
+            if not names.get(name):
+                open_[-1][3].append(m[0])
                 continue
-            stop = text.index(end, m.end())
-            out += [text[at : m.start()], "\n", self._environment(m[1], text[m.end() : stop], depth), "\n"]
-            at = stop + len(end)
-        return "".join([*out, text[at:]])
+            while True:
+                own, start, body, out = open_.pop()
+                names[own] -= 1
+                if own == name:
+                    break
+                open_[-1][3].extend([text[start:body], *out])
+            inner = text[body : m.start()] if name.rstrip("*") in ENVIRONMENT_FORMULAS else "".join(out)
+            open_[-1][3].append("\n" + self._environment(name, inner, len(open_)) + "\n")
+        open_[-1][3].append(text[at:])
+        while len(open_) > 1:
+            _, start, body, out = open_.pop()
+            open_[-1][3].extend([text[start:body], *out])
+        return "".join(open_[0][3])
 
     def _environment(self, name: str, body: str, depth: int) -> str:
         self.found["latex"] += 1
+        name = name.rstrip("*")
         if name in ENVIRONMENT_CODE:
             return self._keep(Block(_indented(body.strip("\n"), "    ")))
         if name in ENVIRONMENT_FORMULAS:
@@ -482,11 +562,17 @@ class Reader:
         if name in ENVIRONMENT_LISTS:
             parts = re.split(r"\\item\b(?:\[[^\]\n]*\])?", body)[1:]
             marks = [f"{k}. " if name == "enumerate" else "- " for k in range(1, len(parts) + 1)]
-            return self._keep(Block(_join([Block(_indented(_join(self._flow(p.strip(), depth + 1)), mark), False) for p, mark in zip(parts, marks, strict=True)])))
+            inner = ["\n".join(self._restored(x.text) for x in self._flow(p.strip(), depth, False)) for p in parts]
+            return self._keep(Block(_join([Block(_indented(t, mark, depth), False) for t, mark in zip(inner, marks, strict=True)])))
         if name in ENVIRONMENT_TABLES:
             rows = [r for r in re.split(r"\\\\(?:\[[^\]\n]*\])?|\\hline|\\(?:top|mid|bottom)rule", body) if r.strip()]
             return self._keep(Block(_aligned([[self._inline(c) for c in re.split(r"(?<!\\)&", r)] for r in rows])))
-        return self._keep(Block(_join(self._flow(body.strip(), depth + 1))))
+        return self._keep(Block(_join(self._flow(body.strip(), depth, False))))
+
+    def _restored(self, text: str) -> str:
+        """A list within an item as text, so that it is indented with it."""
+        m = _PLACE.fullmatch(text)
+        return self.kept[int(m[1])].text if m else text
 
     def _wiki_table(self, m: re.Match) -> str:
         self.found["wiki"] += 1
@@ -506,13 +592,15 @@ class Reader:
 
     # inside a line
 
+    def _formulas(self, text: str) -> str:
+        return _INLINE_MATH.sub(self._formula, text) if "$" in text or "\\(" in text else text
+
     def _inline(self, text: str) -> str:
-        if "$" in text or "\\(" in text:
-            text = _INLINE_MATH.sub(self._formula, text)
+        text = self._formulas(text)
         if "[[" in text:
             text = _WIKI_LINK.sub(self._wiki_link, text)
-        if "{{" in text:
-            text = _TEMPLATE.sub(self._template, text)
+        if "{{" in text and "}}" in text:
+            text = self._templates(text)
         if "''" in text:
             text = _WIKI_STRONG.sub(self._wiki_strong, text)
         if "](" in text:
@@ -522,8 +610,7 @@ class Reader:
             for pattern in _EMPHASIS:
                 text = pattern.sub(self._taken("markdown"), text)
         if "\\" in text:
-            text = _GROUP.sub(lambda m: self._count("latex", m[2]), text)
-            text = _COMMAND.sub(self._command, text)
+            text = self._commands(text)
         return self._references(text)
 
     def _count(self, kind: str, text: str) -> str:
@@ -549,25 +636,108 @@ class Reader:
             return self._count("wiki", words[-1] if words else "")
         return self._count("wiki", rest[-1] if rest and rest[-1] else target)
 
-    def _template(self, m: re.Match) -> str:
-        plain = [x.strip() for x in m[2].split("|")[1:] if "=" not in x]
+    def _templates(self, text: str) -> str:
+        """Templates from the innermost out: double braces that belong together around a name."""
+        open_: list[list[str]] = [[]]
+        at = 0
+        for m in _BRACES.finditer(text):
+            open_[-1].append(text[at : m.start()])
+            at = m.end()
+            if m[0] == "{{":
+                open_.append([])
+            elif len(open_) > 1:
+                body = "".join(open_.pop())
+                open_[-1].append(self._template(body))
+            else:
+                open_[-1].append(m[0])
+        open_[-1].append(text[at:])
+        while len(open_) > 1:
+            rest = open_.pop()
+            open_[-1].extend(["{{", *rest])
+        return "".join(open_[0])
+
+    def _template(self, body: str) -> str:
+        # bars within links divide nothing
+        parts = _WIKI_LINK.sub(self._wiki_link, body).split("|") if "[[" in body else body.split("|")
+        name = parts[0].strip()
+        if not name or "\n" in name or "{" in name or "}" in name:
+            return "{{" + body + "}}"
+        plain = [x.strip() for x in parts[1:] if "=" not in x]
         return self._count("wiki", " ".join(x for x in plain if x))
 
     def _wiki_strong(self, m: re.Match) -> str:
         return self._count("wiki", m[1] or m[2] or m[3])
 
-    def _command(self, m: re.Match) -> str:
-        name, groups = m[1], re.findall(r"\{([^{}\n]*)\}", m[2])
+    def _commands(self, text: str) -> str:
+        """Commands with their arguments, from the innermost out, in one pass; braces that don't close are text."""
+        closed: dict[int, int] = {}
+        waiting: list[int] = []
+        tokens = list(_COMMAND_TOKEN.finditer(text))
+        for m in tokens:
+            if m[0] == "{":
+                waiting.append(m.start())
+            elif m[0] == "}" and waiting:
+                closed[waiting.pop()] = m.start()
+        ends = set(closed.values())
+        # open groups: what came of them so far, and the command that they are an argument of
+        open_: list[tuple[list[str], re.Match | None, list[str]]] = [([], None, [])]
+        command, groups = None, []
+        at = 0
+        for m in tokens:
+            if m.start() < at:
+                continue
+            if command is not None and not (m.start() == at and m[0] == "{" and m.start() in closed):
+                open_[-1][0].append(self._command(command, groups))
+                command, groups = None, []
+            open_[-1][0].append(text[at : m.start()])
+            at = m.end()
+            if m[1]:
+                # right behind a word, a backslash is mostly a path's
+                if m.start() and text[m.start() - 1].isalnum() and not (m[1] in COMMANDS and m.end() in closed):
+                    open_[-1][0].append(m[0])
+                else:
+                    command, groups = m, []
+            elif m[0] == "{" and m.start() in closed:
+                if command is None and (switch := _SWITCH.match(text, m.end())):
+                    self.found["latex"] += 1
+                    at = switch.end()
+                    open_.append(([], switch, []))
+                else:
+                    open_.append(([], command, groups))
+                command, groups = None, []
+            elif m[0] == "}" and m.start() in ends and len(open_) > 1:
+                out, command, groups = open_.pop()
+                body = "".join(out)
+                if command is None:
+                    # within an argument, braces only group
+                    open_[-1][0].append(body if open_[-1][1] is not None else "{" + body + "}")
+                elif command.re is _SWITCH:
+                    open_[-1][0].append(body)
+                    command = None
+                else:
+                    groups = [*groups, body]
+            else:
+                open_[-1][0].append(m[0])
+        if command is not None:
+            open_[-1][0].append(self._command(command, groups))
+        open_[-1][0].append(text[at:])
+        return "".join(open_[0][0])
+
+    def _command(self, m: re.Match, groups: list[str]) -> str:
+        name = m[1]
+        source = m[0] + "".join("{" + g + "}" for g in groups)
         if name not in COMMANDS and not (groups and len(name) > 1):
-            return m[0]
+            return source
         self.found["latex"] += 1
-        if name in ("ref", "eqref", "pageref", "cite", "citep", "citet"):
+        if name in _CITED:
             return f"[{', '.join(groups)}]"
-        if name in ("label", "begin", "end", "usepackage", "documentclass", "input", "include", "includegraphics", "maketitle", "centering", "noindent", "hline"):
+        if name in _DROPPED:
             return ""
-        if groups and name not in ("frac", "dfrac", "tfrac", "binom", "sqrt"):
-            return groups[-1]
-        return m[0] if groups or name.islower() is False or name in COMMANDS else name
+        return groups[-1] if groups and name not in _SOURCE else source
+
+
+# elements within elements are read by calls within calls, which Python bounds only by this number
+_CALLS = 2_000_000
 
 
 def read(text: str | None) -> tuple[str | None, list[str]]:
@@ -575,7 +745,12 @@ def read(text: str | None) -> tuple[str | None, list[str]]:
     if not text:
         return text, []
     reader = Reader()
-    clean = reader.read(text)
+    calls = sys.getrecursionlimit()
+    sys.setrecursionlimit(_CALLS)
+    try:
+        clean = reader.read(text)
+    finally:
+        sys.setrecursionlimit(calls)
     return clean, [kind for kind, n in reader.found.items() if n]
 
 
