@@ -85,6 +85,10 @@ class Places:
         return hilbert_keys(np.minimum(cells.astype(np.int64), (1 << self.curve.bits) - 1), self.curve.bits)
 
 
+#: Largest containers that a stretch of the curve fills at least.
+_LARGEST = 256
+
+
 @dataclass
 class Open:
     items: list[tuple]
@@ -143,13 +147,14 @@ class Packer:
 
 
 def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve: Curve = Curve(), ranks: str = RANKS, most_kinds: int = 1000) -> DataFrame:
-    """(id, part, parts, tokens, container, capacity, bin, used): every text's place in a container.
+    """(id, part, parts, first, tokens, container, capacity, bin, used): every text's place in a container.
 
     Texts are measured in tokens and placed on a Hilbert curve by their hashed words; the table is range-partitioned
     and sorted by that place, and each task packs its stretch of the curve, so containers hold neighbours. Any number
     of containers of every capacity may be used. ``used`` is what the container ``bin`` holds together. A text is divided
-    only if it is larger than the greatest capacity: into pieces of that capacity (``part`` counts from 0) and a rest that
-    is packed like a text.
+    only if it is larger than the greatest capacity: into pieces of that capacity (``part`` counts from 0, ``first`` is a
+    piece's first token in the text) and a rest that is packed like a text. A stretch holds some hundred of the largest
+    containers at least, so what its last ones leave empty is little; more partitions than that aren't used.
 
     Places are tied up to the id, so equal texts, however many, spread over tasks. Null and empty texts have 0 tokens
     and are assigned as well; repeated rows are assigned each. An empty table gives an empty result; without a
@@ -183,13 +188,13 @@ def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col:
             nonlocal made
             for (name, capacity), items in done:
                 used = sum(s for _, s in items)
-                rows.extend((i, part, parts, size, name, capacity, (task << 40) + made, used) for (i, part, parts), size in items)
+                rows.extend((i, part, parts, part * most, size, name, capacity, (task << 40) + made, used) for (i, part, parts), size in items)
                 made += 1
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            types = [id_arrow, pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["id", "part", "parts", "tokens", "container", "capacity", "bin", "used"]
+            types = [id_arrow, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["id", "part", "parts", "first", "tokens", "container", "capacity", "bin", "used"]
             batch = pa.record_batch({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
             rows.clear()
             return batch
@@ -211,8 +216,9 @@ def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col:
         if rows:
             yield out()
 
-    order = measured.withColumn("tie", F.xxhash64("id")).repartitionByRange(shuffle_partitions(df.sparkSession), "place", "tie").sortWithinPartitions("place", "tie", "id")
-    packed = order.select("id", "tokens").mapInArrow(run, f"id {id_type}, part int, parts int, tokens bigint, container string, capacity bigint, bin bigint, used bigint")
+    stretches = int(measured.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // (_LARGEST * most)
+    order = measured.withColumn("tie", F.xxhash64("id")).repartitionByRange(max(1, min(shuffle_partitions(df.sparkSession), stretches)), "place", "tie").sortWithinPartitions("place", "tie", "id")
+    packed = order.select("id", "tokens").mapInArrow(run, f"id {id_type}, part int, parts int, first bigint, tokens bigint, container string, capacity bigint, bin bigint, used bigint")
     return packed.withColumnRenamed("id", id_col)
 
 

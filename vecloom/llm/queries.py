@@ -77,12 +77,21 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_pack(spark, sf_dir))
 
 
+#: A curriculum for sources of these tables: conversation early, dense text late. Weights at the start and the end of training.
+CURRICULUM = {"chatlog": (1.6, 0.4), "forum": (1.4, 0.6), "codenote": (0.7, 1.3), "mathnote": (0.4, 1.6), "paper": (0.2, 1.8)}
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = spark.createDataFrame([(s, t, w) for s, ends in CURRICULUM.items() for t, w in zip((0.0, 1.0), ends, strict=True)], "source string, time double, weight double")
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), points)
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return _mixed(spark, sf_dir)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return _mixed(spark, sf_dir)[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,9 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     first = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
-    rank = np.empty(n, np.int64)
+    # half as wide as Python's integers: the ranks of all rounds are kept
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rank = np.empty(n, kind)
     # a rank is the place of its group's first member, so refining a group moves nobody else
     starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank[order] = starts
@@ -56,7 +58,7 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         places = np.flatnonzero(open_places)
         at = order[places]
         after = at + width
-        second = np.where(after < n, levels[-1][np.minimum(after, n - 1)] + 1, 0)
+        second = np.where(after < n, levels[-1][np.minimum(after, n - 1)] + kind(1), kind(0))
         group = levels[-1][at]
         sub = np.lexsort((second, group))
         at, second, group = at[sub], second[sub], group[sub]
@@ -156,6 +158,10 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     )
 
 
-def repetitive_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 6, least_words: int = 30, least_share: float = 0.3) -> DataFrame:
-    """Documents of at least ``least_words`` words of which at least ``least_share`` are covered (see ``repetition``)."""
-    return repetition(df, id_col, text_col, run).filter((F.col("n_words") >= least_words) & (F.col("covered_words") >= F.lit(least_share) * F.col("n_words")))
+def repetitive_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 6, least_words: int = 30, least_share: float = 0.3, most_repeat: int | None = None) -> DataFrame:
+    """Documents of at least ``least_words`` words of which at least ``least_share`` are covered (see ``repetition``), or,
+    where ``most_repeat`` is given, whose longest repeat has more words than that."""
+    over = F.col("covered_words") >= F.lit(least_share) * F.col("n_words")
+    if most_repeat is not None:
+        over |= F.col("longest_repeat") > most_repeat
+    return repetition(df, id_col, text_col, run).filter((F.col("n_words") >= least_words) & over)
