@@ -74,6 +74,24 @@ def test_bitmaps_bound_the_overlap(a, b):
     assert bound >= neardup.common(x, y) == len(set(x.tolist()) & set(y.tolist()))
 
 
+@given(st.floats(0.05, 1.0), st.integers(1, 10**6))
+@settings(max_examples=200, deadline=None)
+def test_similar_sizes_are_in_neighbouring_bands(least, m):
+    edges = neardup.size_bands(least)
+    n = int(np.ceil(least * m - 1e-9))
+    small, large = np.searchsorted(edges, [max(1, n), m], side="right")
+    assert 0 <= large - small <= 1
+
+
+@given(st.lists(st.tuples(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150)), max_size=12))
+@settings(max_examples=40, deadline=None)
+def test_bounds_of_many_pairs(pairs):
+    sets = [[np.array(sorted(s), np.uint64) for s in p] for p in pairs]
+    maps = [[neardup.bitmap(x, neardup.band_bits(len(x))) for x in p] for p in sets]
+    got = neardup.overlap_bounds([m[0].tobytes() for m in maps], np.array([len(p[0]) for p in sets], np.int64), [m[1].tobytes() for m in maps], np.array([len(p[1]) for p in sets], np.int64))
+    assert got.tolist() == [neardup.overlap_bound(m[0], len(p[0]), m[1], len(p[1])) for m, p in zip(maps, sets, strict=True)]
+
+
 # similar vectors
 
 VECTOR = "id string, vector array<float>, class string, tree int"
@@ -274,6 +292,31 @@ def test_structure_is_kept():
     assert markup.read("[[File:a.png|thumb|shown]] [[Category:no]][[Page]] {{n|x=1|arg}}")[0] == "shown Page arg"
 
 
+@pytest.mark.parametrize(("text", "clean", "kinds"), [
+    ("<div data-x>Hello</div>", "Hello", ["html"]),
+    ("<a href=f.html download>link</a>", "link", ["html"]),
+    ("<details custom>x</details>", "x", ["html"]),
+    ("<my-widget>a</my-widget> <my-key>", "a <my-key>", ["html"]),
+    ("<math><mi>x</mi><mo>=</mo></math>", "x=", ["html"]),
+    ("if a <b and c> d", "if a <b and c> d", []),
+    ("<p>a <b>x<div>y</div>", "a x\n\ny", ["html"]),
+    ("<table><tr><th colspan=2>head<th>z<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "head     z\na     b  c\n      d  e", ["html"]),
+    (r"\begin{itemize}\item a \begin{itemize}\item b\end{itemize}\item c\end{itemize}", "- a\n  - b\n- c", ["latex"]),
+    (r"\begin{equation}\begin{matrix}a & b\end{matrix}\end{equation}", r"\begin{matrix}a & b\end{matrix}", ["latex"]),
+    (r"\begin{verbatim}\begin{x}\end{verbatim}", r"    \begin{x}", ["latex"]),
+    (r"p\footnote{a {nested} b} \textbf{a \emph{b}} {\em it} \frac{a}{b}", r"pa nested b a b it \frac{a}{b}", ["latex"]),
+    ("{{Infobox|a={{x}}|shown {{b|c}}}}", "shown c", ["wiki"]),
+    ("- a item\n  goes on\n- b", "- a item\n  goes on\n- b", ["markdown"]),
+    ("$$" + "x_i + " * 500 + "y$$", "x_i + " * 500 + "y", ["latex"]),
+    ("a $" + "x_i + " * 80 + "y$ b", "a " + "x_i + " * 80 + "y b", ["latex"]),
+    ("== " + "long " * 60 + "==", ("long " * 60).strip(), ["wiki"]),
+    ("<div>" * 300 + "deep" + "</div>" * 300, "deep", ["html"]),
+    (r"\begin{a}" * 60 + "deep" + r"\end{a}" * 60, "deep", ["latex"]),
+])
+def test_tags_nesting_and_length(text, clean, kinds):
+    assert markup.read(text) == (clean, kinds)
+
+
 @given(st.text(alphabet="<>/&;*_`#[]{}|\\$='~-!\n abtdli123x\x00", max_size=120))
 @settings(max_examples=300, deadline=None)
 def test_any_text_can_be_read(text):
@@ -282,7 +325,7 @@ def test_any_text_can_be_read(text):
     assert set(kinds) <= {"html", "markdown", "wiki", "latex"}
 
 
-@pytest.mark.parametrize("part", ["<div>", "<b>", "> ", "*", "~", "```a\n", "{|\n", "<!--", "[[a|", "\\begin{a}", "$a ", "a<b>"])
+@pytest.mark.parametrize("part", ["<div>", "<b>", "> ", "*", "~", "```a\n", "{|\n", "<!--", "[[a|", "\\begin{a}", "$a ", "a<b>", "<blockquote>x", "<ul><li>x", "\\a{", "{{a|"])
 def test_long_and_deep_texts_are_read_in_one_go(part):
     began = time.process_time()
     assert markup.read(part * (200_000 // len(part)))[0] is not None
@@ -362,6 +405,10 @@ def test_containers_hold_everything_once(spark):
         assert sum(r["tokens"] for r in own) == n and len(own) == max(1, -(-n // 256)) == own[0]["parts"]
     total = sum(c for _, c, _ in used)
     assert sizes.sum() / total > 0.95
+    assert all(r["first"] == 256 * r["part"] for r in got)
+    for n in (4, 64, 200):
+        report = with_partitions(spark, n, lambda: packing.packing_report(packing.pack(df, containers(spark, 16, 64, 256))).collect())
+        assert sum(r["tokens"] for r in report) == sizes.sum() and sum(r["tokens"] for r in report) > 0.95 * sum(r["bins"] * r["capacity"] for r in report)
     assert packing.pack(df.limit(0), containers(spark, 16)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, containers(spark))
@@ -380,10 +427,45 @@ def targets(spark, *t):
     return spark.createDataFrame(t, "source string, weight double, max_repeats int")
 
 
+def points(spark, *p):
+    return spark.createDataFrame(p, "source string, time double, weight double")
+
+
+def test_curves_follow_the_schedule_and_the_targets():
+    need = {"a": 500.0, "b": 300.0, "c": 200.0}
+    got = mixing.curves(need, {"a": [(0.0, 2.0), (0.5, 1.0), (1.0, 0.0)], "c": [(0.5, 0.0), (0.75, 1.0)]}, 400)
+    shares = np.array([np.diff(got[s]) * need[s] / 1000 * 400 for s in "abc"])
+    assert np.allclose(shares.sum(axis=0), 1) and np.allclose(shares.mean(axis=1), [0.5, 0.3, 0.2])
+    # the proportion of two scheduled weights is kept up to one factor
+    middle = (np.arange(400) + 0.5) / 400
+    ratio = shares[0] / shares[1] / np.interp(middle, [0, 0.5, 1], [2, 1, 0])
+    assert np.allclose(ratio, ratio[0], rtol=1e-3)
+    assert shares[2][:150].max() < 1e-6
+    assert mixing.curves({}, {}, 10) == {} and np.allclose(mixing.curves({"x": 2.0}, {"x": [(0.3, 0.0)]}, 10)["x"], np.linspace(0, 1, 11))
+
+
+def test_tenths_of_the_mix_have_the_scheduled_shares(spark):
+    rng = random.Random(9)
+    texts = [("word " * rng.randint(1, 9), s) for s in ("early", "late", "even") for _ in range(1500)]
+    schedule = points(spark, ("early", 0.0, 1.0), ("early", 1.0, 0.0), ("late", 0.0, 0.0), ("late", 1.0, 1.0), ("late", 7.0, 9.0), (None, 0.0, 1.0))
+    got = mixing.mix_sources(documents(spark, texts), targets(spark, ("early", 1.0, 1), ("late", 1.0, 1), ("even", 1.0, 1)), schedule)[0].collect()
+    total = sum(r["tokens"] for r in got)
+    own = {s: sum(r["tokens"] for r in got if r["source"] == s) for s in ("early", "late", "even")}
+    want = mixing.curves({s: float(n) for s, n in own.items()}, mixing.schedules(schedule, 100), 500)
+    done = 0
+    for k in range(10):
+        part = [r for r in got if k / 10 <= r["position"] < (k + 1) / 10]
+        for s in own:
+            share = (np.interp((k + 1) / 10, np.linspace(0, 1, 501), want[s]) - np.interp(k / 10, np.linspace(0, 1, 501), want[s])) * own[s] / total * 10
+            assert abs(sum(r["tokens"] for r in part if r["source"] == s) / sum(r["tokens"] for r in part) - share) < 0.02
+        done += sum(r["tokens"] for r in part)
+        assert abs(done / total - (k + 1) / 10) < 0.01
+
+
 def test_mix_reaches_its_shares(spark):
     rng = random.Random(8)
     texts = [(f"word {i} " * rng.randint(1, 30), rng.choice(["big", "big", "big", " Small "])) for i in range(800)] + [("x", None), ("y", "other"), (None, "big")]
-    mix, shares = mixing.mix_sources(documents(spark, texts), targets(spark, ("BIG", 1.0, 1), ("small", 1.0, 3), ("none", 2.0, 1)), how=mixing.Mix(slopes={"small": 0.9}, bucket=50))
+    mix, shares = mixing.mix_sources(documents(spark, texts), targets(spark, ("BIG", 1.0, 1), ("small", 1.0, 3), ("none", 2.0, 1)), points(spark, ("small", 0.0, 0.1), ("Small ", 1.0, 1.9)), how=mixing.Mix(bucket=50))
     got = mix.collect()
     assert [r["position"] for r in got] == sorted(r["position"] for r in got)
     copies = {}
@@ -435,4 +517,6 @@ def test_repetition_rows(spark):
     assert got[0]["share"] > 0.9 and got[1]["share"] == 0 and got[2]["share"] == 0 == got[3]["n_words"]
     assert got[4]["longest_repeat"] == 19999
     assert sorted(r["doc_id"] for r in repetition.repetitive_documents(df).collect()) == [0, 4]
+    assert sorted(r["doc_id"] for r in repetition.repetitive_documents(df, least_share=1.1, most_repeat=113).collect()) == [0, 4]
+    assert sorted(r["doc_id"] for r in repetition.repetitive_documents(df, least_share=1.1, most_repeat=114).collect()) == [4]
     assert repetition.repetition(df.limit(0)).count() == 0

@@ -190,7 +190,7 @@ def fit(sample: np.ndarray, number: int, least: float, forest: Forest, parts: in
 
     options = [(t * (_ROW + m), t) for t in forest.trees if t <= most_trees and (m := met(t)) <= forest.most / 4] if number > forest.most else []
     trees = min(options)[1] if options else min(forest.trees) if number > forest.most else 1
-    parts = max(parts, number * trees // 200_000)
+    parts = max(parts, number * trees // 100_000)
     # cells depend on the data alone, so that partitions change no result
     share = 2 * forest.most * len(sample) / max(1, number)
     first, starts, depth, sizes = [], [], [], []
