@@ -36,6 +36,8 @@ ORDER_CELLS = 1 << 20
 _LEVELS = 8
 #: Classes whose tokens one task has already emitted are remembered up to this many, to combine copies early. It only changes the work.
 _REMEMBERED = 200_000
+#: Cells of the filter of sets that are asked for.
+FILTER_CELLS = 1 << 20
 #: Bytes of a token in a shuffle, and of the tokens of one partition.
 _TOKEN, _PARTITION = 22, 6_000_000
 
@@ -115,11 +117,20 @@ def overlap_bounds(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray)
     return out
 
 
-def size_bands(least: float, largest: int = 1 << 31) -> np.ndarray:
-    """First size of each band: sets of similarity ``least`` or more are in the same or in neighbouring bands."""
+def largest_similar(n: np.ndarray | int, least: float) -> np.ndarray | int:
+    """Size of the largest set that can be similar to one of n members."""
+    return np.floor(np.asarray(n) / least + 1e-6).astype(np.int64)
+
+
+def size_bands(least: float, largest: int = 1 << 31, width: int = 3) -> np.ndarray:
+    """First size of each band: sets of similarity ``least`` or more are in the same or in neighbouring bands. A band is ``width``
+    times as wide as that asks for, so that only the largest sets of a band can have similar ones in the next."""
     edges = [1, 2]
     while edges[-1] <= largest:
-        edges.append(max(edges[-1] + 1, int((edges[-1] - 1) / least + 1e-6) + 1))
+        last = edges[-1] - 1
+        for _ in range(width):
+            last = int(largest_similar(last, least))
+        edges.append(max(edges[-1] + 1, last + 1))
     return np.array(edges, np.int64)
 
 
@@ -150,8 +161,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     1. Texts are read once, into sorted sets of hashed shingles with their bitmaps.
     2. A frequency table of fixed size counts the shingles of all sets; it only orders them, rare first.
     3. Every class sends its rarest shingles (all but so many that a similar set must meet one) to tiles of its size band,
-       and fewer of them, which is enough to meet larger sets, to the tiles of the next band: a tile is a band and a
-       shingle. A meeting passes if sizes, places in the order and the bit counts of 64-bit signatures allow enough in
+       and, if the next band can hold similar sets, fewer of them, which is enough to meet larger sets, to tiles of that
+       band: a tile is a band and a shingle. A meeting passes if sizes, places in the order and the bit counts of 64-bit signatures allow enough in
        common. Copies are combined within each task before the shuffle; hot tiles are split by the adaptive join.
     4. Bitmaps as wide as the size band, a few bits a shingle, bound each meeting's overlap from above.
     5. Only sets of classes that pass move again; intersecting the sorted arrays decides.
@@ -214,32 +225,38 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
                 rare = np.argsort(row * 256 + level[(s & np.uint64(ORDER_CELLS - 1)).astype(np.int64)], kind="stable")
                 place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
                 home = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]
-                guest = place < (n - np.ceil(2 * least / (1 + least) * n - 1e-9).astype(np.int64) + 1)[row]
                 band = np.searchsorted(edges, n, side="right") - 1
+                reaches = largest_similar(n, least) >= edges[band + 1]
+                guest = reaches[row] & (place < (n - np.ceil(2 * least / (1 + least) * n - 1e-9).astype(np.int64) + 1)[row])
                 for of_guest, chosen in ((0, home), (1, guest)):
                     at = row[chosen]
                     tile = _mixed(s[rare[chosen]] + (band[at] + of_guest).astype(np.uint64) * _P1)
                     take = pa.array(at)
-                    yield pa.record_batch({"tile": pa.array(tile.view(np.int64)), "key": part["key"].take(take), "n": part["n"].take(take), "place": pa.array(place[chosen].astype(np.int32)), "guest": pa.array(np.full(len(at), of_guest, np.int32)), "signature": part["signature"].take(take)})
-
-    entry = sets.select("class", "key", "n", "signature", "shingles").mapInArrow(tokens, "tile bigint, key bigint, n int, place int, guest int, signature bigint")
-    a, b = entry.alias("a"), entry.alias("b")
-    need = how.overlap(F.col("a.n"), F.col("b.n"))
+                    # size, place and role in one number: a row of the shuffle is as short as can be
+                    packed = n[at] << 32 | place[chosen] << 1 | of_guest
+                    yield pa.record_batch({"tile": pa.array(tile.view(np.int64)), "key": part["key"].take(take), "packed": pa.array(packed), "signature": part["signature"].take(take)})
+
+    entry = sets.select("class", "key", "n", "signature", "shingles").mapInArrow(tokens, "tile bigint, key bigint, packed bigint, signature bigint")
+    # unpacked above the exchange that both sides read
+    unpack = lambda x: entry.hint("merge").alias(x)
+    a, b = unpack("a"), unpack("b")
+    n_of, place_of, guest_of = (lambda x, e=e: F.expr(e.format(x=x)).cast("int") for e in ("shiftright({x}.packed, 32)", "shiftright({x}.packed, 1) & 2147483647", "{x}.packed & 1"))
+    need = how.overlap(n_of("a"), n_of("b"))
     meets = (
         (F.col("a.tile") == F.col("b.tile"))
         # one of the two is at home; said of both sides together, so that both read one exchange
-        & (F.col("a.guest") + 2 * F.col("b.guest") < 2)
-        & ((F.col("a.guest") + F.col("b.guest") == 1) | (F.col("a.key") < F.col("b.key")))
-        & (F.least("a.n", "b.n") >= F.ceil(F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
-        & (1 + F.least(F.expr("a.n - a.place - 1"), F.expr("b.n - b.place - 1")) >= need)
-        & (F.expr("(a.n + b.n - bit_count(a.signature ^ b.signature)) div 2") >= need)
+        & (guest_of("a") + 2 * guest_of("b") < 2)
+        & ((guest_of("a") + guest_of("b") == 1) | (F.col("a.key") < F.col("b.key")))
+        & (F.least(n_of("a"), n_of("b")) >= F.ceil(F.lit(least) * F.greatest(n_of("a"), n_of("b")) - 1e-9))
+        & (F.least(n_of("a") - place_of("a"), n_of("b") - place_of("b")) >= need)
+        & (F.floor((n_of("a") + n_of("b") - F.bit_count(F.col("a.signature").bitwiseXOR(F.col("b.signature")))) / 2) >= need)
     )
-    rows = int(frequency.sum()) * (1 - least) * (1 + 1 / (1 + least))
+    rows = int(frequency.sum()) * (1 - least) * (1 + 1 / (1 + least) / 2)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     # as many partitions as the tokens fill, so that the largest task doesn't grow with the table
     spark.conf.set("spark.sql.shuffle.partitions", max(shuffle_partitions(spark), int(rows * _TOKEN / _PARTITION)))
     try:
-        met = stage(a.hint("merge").join(b.hint("merge"), meets).select(F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")).distinct(), "met")
+        met = stage(a.join(b, meets).select(F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")).distinct(), "met")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -250,15 +267,28 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
                 n, m = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
                 most = overlap_bounds(batch["bitmap_a"].to_pylist(), n, batch["bitmap_b"].to_pylist(), m)
                 keep = np.flatnonzero(most >= np.ceil(least / (1 + least) * (n.astype(np.float64) + m) - 1e-9))
-                yield batch.select(["class_a", "class_b"]).take(pa.array(keep))
+                yield batch.select(["class_a", "class_b", "key_a", "key_b"]).take(pa.array(keep))
 
     # a bitmap takes a few bits a shingle, an array 64: what the bit counts rule out never moves as arrays
     signed = sets.select("class", "key", "n", "bitmap").dropDuplicates(["class"])
     side = lambda x: signed.select(*[F.col(c).alias(f"{c}_{x}") for c in ("class", "key", "n", "bitmap")])
-    possible = stage(met.join(side("a"), "key_a").join(side("b"), "key_b").select("class_a", "class_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bounded, "class_a binary, class_b binary"), "possible")
+    possible = stage(met.join(side("a"), "key_a").join(side("b"), "key_b").select("class_a", "class_b", "key_a", "key_b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bounded, "class_a binary, class_b binary, key_a bigint, key_b bigint"), "possible")
+
+    def mark(batches: Iterable[pa.RecordBatch], cells: np.ndarray) -> None:
+        for batch in batches:
+            for side in ("key_a", "key_b"):
+                cells[batch[side].to_numpy() & (FILTER_CELLS - 1)] = 1
+
+    # a filter of fixed size keeps most of the sets that nobody asks for out of the shuffle; the join decides
+    asked = spark.sparkContext.broadcast(np.packbits(dense_summary(possible.select("key_a", "key_b"), mark, FILTER_CELLS) > 0, bitorder="little"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch["key"].to_numpy() & (FILTER_CELLS - 1)
+            yield batch.select(["class", "shingles"]).take(pa.array(np.flatnonzero(asked.value[cell >> 3] >> (cell & 7) & 1)))
 
     wanted = possible.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    known = stage(sets.join(wanted, "class", "left_semi").select("class", "shingles").dropDuplicates(["class"]), "arrays")
+    known = stage(sets.select("key", "class", "shingles").mapInArrow(likely, "class binary, shingles binary").join(wanted, "class", "left_semi").dropDuplicates(["class"]), "arrays")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
