@@ -81,6 +81,7 @@ def test_similar_sizes_are_in_neighbouring_bands(least, m):
     n = int(np.ceil(least * m - 1e-9))
     small, large = np.searchsorted(edges, [max(1, n), m], side="right")
     assert 0 <= large - small <= 1
+    assert large == small or neardup.largest_similar(max(1, n), least) >= edges[small]
 
 
 @given(st.lists(st.tuples(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150)), max_size=12))

@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar items of every item, whatever their similarity."""
-    return most_similar(table(spark, sf_dir, "store_items"))
+    return most_similar(table(spark, sf_dir, "store_items")).select("id", "neighbour", F.col("rank").cast("bigint").alias("rank"), (F.round("similarity", 6) + 0.0).alias("similarity"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,13 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("id", F.array_join("kinds", ",").alias("kinds"), "text")
 
 
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is no prose is kept as it is, letter for letter."""
+    clean = clean_texts(table(spark, sf_dir, "store_items"))
+    kinds = table(spark, sf_dir, "store_items").select("id", F.col("content.type").alias("type"))
+    return clean.join(kinds.filter(F.col("type").isin("code", "json")), "id").select("id", F.size("kinds").cast("bigint").alias("kinds"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity_clusters(table(spark, sf_dir, "store_items"))
     return clustered_codes(found, *codebook(table(spark, sf_dir, "centroids"))).select("id", "code")
@@ -69,6 +76,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "store_items"))
 
 
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every item larger than the limit: its bytes, counted from its pieces without their overlaps, and whether all of them fit."""
+    pieces = split_items(table(spark, sf_dir, "store_items")).withColumn("bytes", F.octet_length("text").cast("bigint"))
+    own = pieces.groupBy("id").agg(F.sum(F.col("end") - F.col("fresh")).alias("bytes"), (F.max("bytes") <= 4096).alias("fits"), (F.sum("bytes") == F.sum(F.col("end") - F.col("start"))).alias("whole"))
+    return own.filter(F.col("bytes") > 4096)
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
@@ -77,6 +91,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_pack(spark, sf_dir))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is placed once and whole, in bins that hold no more than they can."""
+    rows = p7_pack(spark, sf_dir)
+    bins = rows.groupBy("bin").agg((F.sum("tokens") <= F.min("capacity")).alias("within"))
+    own = rows.join(bins, "bin").groupBy("doc_id").agg((F.count("*") == F.max("parts")).alias("whole"), (F.countDistinct("part") == F.max("parts")).alias("once"), F.bool_and("within").alias("within"), F.bool_and((F.col("parts") == 1) | (F.col("part") == F.col("parts") - 1) | (F.col("tokens") == F.col("capacity"))).alias("undivided"))
+    return own.select("doc_id", "whole", "once", "within", "undivided")
+
+
+def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether 98 % of the capacity used is filled."""
+    return p7_report(spark, sf_dir).agg((F.sum("tokens") >= 0.98 * F.sum(F.col("bins") * F.col("capacity"))).alias("filled"))
+
+
 #: A curriculum for sources of these tables: conversation early, dense text late. Weights at the start and the end of training.
 CURRICULUM = {"chatlog": (1.6, 0.4), "forum": (1.4, 0.6), "codenote": (0.7, 1.3), "mathnote": (0.4, 1.6), "paper": (0.2, 1.8)}
 
@@ -94,6 +121,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target: whether its source is repeated no more than allowed, and reaches its share to within a hundredth."""
+    limits = table(spark, sf_dir, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    reached = p8_shares(spark, sf_dir)
+    return limits.join(reached, "source").select("source", (F.col("passes") <= F.col("max_repeats")).alias("repeats"), (F.abs(F.col("share") - F.col("target")) <= 0.01).alias("reached"))
+
+
+def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures that SQL can count."""
+    found = p9_repetition(spark, sf_dir)
+    return found.select("doc_id", "n_words", "covered_words", (F.round("share", 6) + 0.0).alias("share"), "repeated_runs")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -110,16 +150,22 @@ QUERIES = {
     "p2_most_similar": p2_most_similar,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p3_kept": p3_kept,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_cover": p6_cover,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
+    "p7_placed": p7_placed,
+    "p7_filled": p7_filled,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_repetition": p9_repetition,
+    "p9_figures": p9_figures,
 }
 
 ORACLE = sql.ORACLE
