@@ -9,8 +9,8 @@ from vecloom.plans import vectors
 SF = "/root/testdata/sf0.001"
 
 
-def test_trained_and_wide_searches_reach_their_recall(spark):
+def test_searches_reach_their_recall(spark):
     exact = knn(vectors._all(spark, SF), vectors._asked(spark, SF), vectors.K, "l2sq", **vectors.PAIR).cache()
-    for name in ("ivf_trained_search", "lsh_wide_rerank", "optimistic_wide_search"):
+    for name in ("ivf_search", "ivf_nprobe_search", "ivf_stored_search", "lsh_search", "lsh_rerank", "mplsh_search", "optimistic_search", "adaptive_search", "hybrid_search"):
         got = search.recall(vectors.QUERIES[name](spark, SF), exact).agg({"recall": "avg"}).first()[0]
         assert got >= 0.9, (name, got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from vecloom.functions.vector import normalize
 
 #: Fixed values of the public FNV-1a 32-bit hash.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+#: Those of its 64-bit form.
+FNV64_OFFSET, FNV64_PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
 CONTENT_TYPES = ("text", "code", "math", "json", "markdown")
 DAY_NS = 24 * 3600 * 10**9
 
@@ -21,6 +25,26 @@ def fnv1a32(key: Column) -> Column:
     return F.when(F.octet_length(key) > 0, folded).otherwise(start)
 
 
+def _fnv64(vectors: pd.Series) -> pd.Series:
+    """Vectors of one length are hashed together, byte by byte."""
+    out = np.full(len(vectors), FNV64_OFFSET, np.uint64)
+    lengths = np.array([-1 if v is None else len(v) for v in vectors])
+    with np.errstate(over="ignore"):
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            raw = np.array([vectors.iloc[i] for i in at], "<f4").view(np.uint8).reshape(len(at), -1)
+            h = out[at]
+            for column in raw.T:
+                h = (h ^ column.astype(np.uint64)) * FNV64_PRIME
+            out[at] = h
+    return pd.Series([None if n < 0 else int(h) for n, h in zip(lengths, out.view(np.int64), strict=True)], dtype="Int64")
+
+
+def fnv1a64(vector: Column) -> Column:
+    """FNV-1a, 64 bits, of a vector's numbers as little-endian 32-bit floats; a bigint with the same bits. Null for null."""
+    return F.pandas_udf(_fnv64, "bigint")(vector)
+
+
 def shard_of(key: Column, shards: int = 16) -> Column:
     return fnv1a32(key) % shards
 

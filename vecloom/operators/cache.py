@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.keys import shard_of, time_to_live
+from vecloom.functions.keys import query_key, shard_of, time_to_live
 from vecloom.functions.vector import cosine
 from vecloom.operators.ordered import running_total
 
@@ -96,6 +96,25 @@ def inflated(data: Column) -> Column:
     return F.pandas_udf(_inflate, T.BinaryType())(data)
 
 
+def remembered(results: DataFrame, queries: DataFrame, k: int, now: Column, minutes: int = 5) -> DataFrame:
+    """(query_id, key, hits): cached results of the queries (id, vector), the latest of each key that is at most ``minutes`` old.
+
+    ``results`` has (key, hits, cached_at); ``key`` is ``query_key``, so scaled vectors share results and limits do not. Zero
+    vectors have no key and no results.
+    """
+    asked = queries.select(F.col("id").alias("query_id"), query_key(F.col("vector"), k).alias("key")).filter("key is not null")
+    young = results.filter(now - nanoseconds(F.col("cached_at")) <= F.lit(minutes * 60 * 10**9))
+    latest = young.groupBy("key").agg(F.max_by("hits", "cached_at").alias("hits"))
+    return asked.join(latest, "key").select("query_id", "key", "hits")
+
+
+def to_remember(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(key, hits): search results (query_id, item_id, rank, distance) as one row for each query key, ``k`` hits at most."""
+    keyed = queries.select(F.col("id").alias("query_id"), query_key(F.col("vector"), k).alias("key")).filter("key is not null")
+    packed = hits.filter(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "distance"))).alias("hits"))
+    return keyed.join(packed, "query_id").groupBy("key").agg(F.min_by("hits", "query_id").alias("hits"))
+
+
 def similar_queries(cached: DataFrame, asked: DataFrame, least: float = 0.95) -> DataFrame:
     """(query_id, cached_id, similarity): for every query asked the most similar cached one of similarity ``least`` or more."""
     from vecloom.operators.knn import knn
@@ -104,4 +123,4 @@ def similar_queries(cached: DataFrame, asked: DataFrame, least: float = 0.95) ->
     return near.select("query_id", F.col("item_id").alias("cached_id"), (1.0 - F.col("distance")).alias("similarity"))
 
 
-__all__ = ["compressed", "cosine", "hit_counts", "inflated", "live", "nanoseconds", "residency", "similar_queries", "within_budget"]
+__all__ = ["compressed", "cosine", "hit_counts", "inflated", "live", "nanoseconds", "remembered", "residency", "similar_queries", "to_remember", "within_budget"]

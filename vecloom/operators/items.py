@@ -64,8 +64,8 @@ def flush_batches(items: DataFrame, order: list[str], size: int = 2000) -> DataF
     return numbered(items, order).withColumn("batch", F.floor(F.col("idx") / size))
 
 
-def problems(items: DataFrame, dimension: int = 64, most_id: int = 256, most_data: int = 65535) -> DataFrame:
-    """(id, problem): every rule an item breaks; null values break the rule of their column."""
+def broken(dimension: int = 64, most_id: int = 256, most_data: int = 65535) -> Column:
+    """The rules a row breaks, as an array of names; null values break the rule of their column. No rule sees another row."""
     rules = [
         ("id", F.col("id").isNull() | (F.length("id") > most_id) | (F.col("id") == "")),
         ("content_type", ~valid_type(F.col("content.type"))),
@@ -73,7 +73,12 @@ def problems(items: DataFrame, dimension: int = 64, most_id: int = 256, most_dat
         ("content_data", F.coalesce(F.octet_length("content.data") > most_data, F.lit(False))),
         ("expiry", F.coalesce(F.col("expires_at") < F.col("created_at"), F.lit(False))),
     ]
-    return items.select("id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))).alias("problem"))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
+
+
+def problems(items: DataFrame, dimension: int = 64, most_id: int = 256, most_data: int = 65535) -> DataFrame:
+    """(id, problem): every rule an item breaks (``broken``)."""
+    return items.select("id", F.explode(broken(dimension, most_id, most_data)).alias("problem"))
 
 
 def write_batch(items: DataFrame, path: str, dimension: int = 64, mode: str = "append") -> int:

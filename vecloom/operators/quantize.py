@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.operators.knn import matrix
+from vecloom.config import Quantizer
+from vecloom.functions.vector import l2sq
+from vecloom.operators.knn import block_of, matrix, scan
 from vecloom.operators.lsh import first_k
 
 #: Largest codebook that is sent to every task, in numbers.
@@ -128,28 +130,68 @@ def train(items: DataFrame, k: int, steps: int, id_col: str = "id", vector_col:
     return book
 
 
+class Cells:
+    """Which rows of a matrix are in a probed cell of which query."""
+
+    def __init__(self, q: np.ndarray, book: np.ndarray, nprobe: int) -> None:
+        self.book = book
+        near = np.argsort(_squares(q, book), axis=1, kind="stable")[:, :nprobe]
+        self.probed = np.zeros((len(q), len(book)), bool)
+        np.put_along_axis(self.probed, near, True, axis=1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.probed[:, _squares(x, self.book).argmin(axis=1)]
+
+
 def ivf_search(items: DataFrame, queries: DataFrame, book: np.ndarray, k: int, nprobe: int = 1, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, item_id, rank, distance): the k nearest items by squared L2 among those in the ``nprobe`` cells nearest to
-    the query. Cells are an equi-join key, so a stored table partitioned by cell prunes its files."""
-    from vecloom.operators.lsh import with_vectors
-
-    shared = items.sparkSession.sparkContext.broadcast(book)
-    source = _source(queries, id_col, vector_col, book.shape[1])
+    the query. Up to a block of queries goes to the tasks, which find an item's cell and score it in one scan; more queries
+    meet the items in a join on the cell. ``write_cells`` stores the cells, for ``stored_ivf_search`` to read only those probed."""
+    source = _source(items, id_col, vector_col, book.shape[1])
+    asked = _source(queries, id_col, vector_col, book.shape[1]).filter("id is not null")
+    blocks = block_of(asked)
+    if blocks is None:
+        coded = assign(items, book, id_col, vector_col).select("id", "code").join(source, "id")
+        return _by_cell(coded, asked, book, k, nprobe)
+    if not blocks:
+        return items.sparkSession.createDataFrame([], f"query_id {asked.schema['id'].dataType.simpleString()}, item_id {source.schema['id'].dataType.simpleString()}, rank bigint, distance double")
+    ids, q = blocks[0]
+    found = scan(source, ids, q, k, "l2sq", query_type=asked.schema["id"].dataType.simpleString(), masks=Cells(q, book, nprobe))
+    return first_k(found, k, "distance", "item_id").select("query_id", "item_id", "rank", "distance")
+
+
+def _by_cell(coded: DataFrame, asked: DataFrame, book: np.ndarray, k: int, nprobe: int) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast(book)
+    kind = asked.schema["id"].dataType.simpleString()
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, x in _blocks(batches, shared.value.shape[1]):
             order = np.argsort(_squares(x, shared.value), axis=1, kind="stable")[:, :nprobe]
             at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-            yield pa.record_batch({"query_id": batch["id"].take(at), "code": pa.array(order.ravel().astype(np.int64))})
-
-    asked = source.mapInArrow(probes, f"query_id {source.schema['id'].dataType.simpleString()}, code bigint")
-    pairs = asked.join(assign(items, book, id_col, vector_col).select(F.col("id").alias("item_id"), "code"), "code").select("query_id", "item_id")
-    from vecloom.functions.vector import l2sq
+            yield pa.record_batch({"query_id": batch["id"].take(at), "code": pa.array(order.ravel().astype(np.int64)), "qv": batch["vector"].take(at)})
 
-    scored = with_vectors(pairs, items, queries, id_col, vector_col).withColumn("distance", l2sq(F.col("qv"), F.col("iv")))
+    probed = asked.mapInArrow(probes, f"query_id {kind}, code bigint, qv {asked.schema['vector'].dataType.simpleString()}")
+    scored = coded.join(probed, "code").select("query_id", F.col("id").alias("item_id"), l2sq(F.col("qv"), F.col("vector")).alias("distance"))
     return first_k(scored, k, "distance", "item_id").select("query_id", "item_id", "rank", "distance")
 
 
+def write_cells(items: DataFrame, book: np.ndarray, path: str, id_col: str = "id", vector_col: str = "vector") -> None:
+    """Create an index: a table (id, vector, code) with a folder for each cell of the codebook. A new index replaces an old one."""
+    source = _source(items, id_col, vector_col, book.shape[1])
+    assign(items, book, id_col, vector_col).select("id", "code").join(source, "id").repartition("code").write.mode("overwrite").partitionBy("code").parquet(path)
+
+
+def stored_ivf_search(spark: SparkSession, path: str, queries: DataFrame, book: np.ndarray, k: int, nprobe: int = 1, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """``ivf_search`` of a stored index; of up to a block of queries, only the folders of their cells are read."""
+    asked = _source(queries, id_col, vector_col, book.shape[1]).filter("id is not null")
+    stored = spark.read.parquet(path).withColumn("code", F.col("code").cast("bigint"))
+    blocks = block_of(asked)
+    if blocks:
+        used = np.flatnonzero(Cells(blocks[0][1], book, nprobe).probed.any(axis=0)).tolist()
+        stored = spark.read.parquet(path).filter(F.col("code").isin(used)).withColumn("code", F.col("code").cast("bigint"))
+    return _by_cell(stored, asked, book, k, nprobe)
+
+
 @dataclass(frozen=True)
 class ProductBook:
     """Sub-codebooks of equal width; dimensions past the last full part are ignored."""
@@ -233,3 +275,49 @@ def residuals(items: DataFrame, books: list[np.ndarray], id_col: str = "id", vec
 def pack_codes(codes, bits: int):  # noqa: ANN001, ANN201
     """Codes as one bigint, ``bits`` each, the first lowest. For at most 63 bits together."""
     return F.aggregate(F.transform(codes, lambda c, i: F.call_function("shiftleft", c.cast("bigint"), i * bits)), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+
+
+#: Kinds of quantizers.
+KINDS = ("standard", "optimistic", "product", "residual")
+
+
+def encode(items: DataFrame, kind: str, book: np.ndarray | ProductBook, epsilon: float = 1.3, probe: int = 8, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, codes, error): codes by the quantizer of that kind: one code (standard, optimistic), one a part (product, ``book`` being
+    a ``ProductBook``) or one a level (residual, ``book`` having a level in front). Any other kind is an error."""
+    if kind in ("standard", "optimistic"):
+        found = assign(items, book, id_col, vector_col) if kind == "standard" else optimistic(items, book, epsilon, probe, id_col, vector_col)
+        # the optimistic quantizer reports the distance itself, the others its square
+        error = F.col("distance") if kind == "standard" else F.col("distance") * F.col("distance")
+        return found.select("id", F.array(F.col("code").cast("smallint")).alias("codes"), error.alias("error"))
+    if kind == "product":
+        return pq_encode(items, book, book.parts.shape[0] * book.width, id_col, vector_col)
+    if kind == "residual":
+        return rq_encode(items, book, id_col, vector_col)
+    raise ValueError(f"unknown quantizer {kind}: one of {', '.join(KINDS)}")
+
+
+def trained(items: DataFrame, kind: str, how: Quantizer, levels: int = 2, id_col: str = "id", vector_col: str = "vector") -> np.ndarray | ProductBook:
+    """The codebook for ``encode`` by the parameters of a configuration."""
+    if kind in ("standard", "optimistic"):
+        return train(items, how.centroids, how.steps, id_col, vector_col, how.tolerance)
+    if kind == "product":
+        return product_book(items, how.parts, how.centroids, how.steps, id_col, vector_col)
+    if kind == "residual":
+        return rq_train(items, levels, how.centroids, how.steps, id_col, vector_col)
+    raise ValueError(f"unknown quantizer {kind}: one of {', '.join(KINDS)}")
+
+
+def change_rate(items: DataFrame, before: np.ndarray, after: np.ndarray, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(rows, changed, rate): share of the vectors that two codebooks assign to different codes, in one scan."""
+    source = _source(items, id_col, vector_col, before.shape[1])
+    shared = items.sparkSession.sparkContext.broadcast((before, after))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = changed = 0
+        for _, x in _blocks(batches, shared.value[0].shape[1]):
+            old, new = (_squares(x, book).argmin(axis=1) for book in shared.value)
+            n, changed = n + len(x), changed + int((old != new).sum())
+        yield pa.record_batch({"rows": pa.array([n], pa.int64()), "changed": pa.array([changed], pa.int64())})
+
+    sums = source.mapInArrow(run, "rows bigint, changed bigint").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"))
+    return sums.withColumn("rate", F.when(F.col("rows") > 0, F.col("changed") / F.col("rows")))

@@ -42,8 +42,8 @@ def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeliest next event types after each."""
-    return access.predict(access.transitions(_events(spark, sf_dir), "user_id", ("ts", "event_id"), "event_type"))
+    """Likeliest next items after each."""
+    return access.predict(access.transitions(_log(spark, sf_dir)))
 
 
 def warming_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def lru_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lru_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of four shards that hold twenty users each, over the events in order."""
-    return cache.hit_counts(_events(spark, sf_dir), F.col("user_id") % 4, 20, "user_id", ("ts", "event_id"))
+    """Hits of sixteen shards that hold fifty items each, over the access log in order."""
+    return cache.hit_counts(_log(spark, sf_dir), keys.shard_of(F.col("item_key"), 16), 50, "item_key", ("ts", "seq"))
 
 
 def latency_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,17 +180,17 @@ ORACLE = {
     "access_pattern_expiry": f"with {_LOG}, {_COUNTS} select * from counts where last_access >= (select max(ts) from log) - interval 24 hours",
     "frequent_items": f"with {_LOG}, {_COUNTS} select * from counts where accesses >= 5 order by accesses desc, item_key limit 100",
     "transition_counts": f"with {_LOG} select prev, next, count(*) as n from (select item_key as prev, lead(item_key) over (partition by user_id order by ts, seq, item_key) as next from log where item_key is not null and user_id is not null) where next is not null group by 1, 2",
-    "predict_next": """with t as (select prev, next, count(*) as n from (select event_type as prev, lead(event_type) over (partition by user_id order by ts, event_id) as next from events) where next is not null group by 1, 2),
+    "predict_next": f"""with {_LOG}, t as (select prev, next, count(*) as n from (select item_key as prev, lead(item_key) over (partition by user_id order by ts, seq, item_key) as next from log where item_key is not null and user_id is not null) where next is not null group by 1, 2),
 s as (select prev as key, next as candidate, 0.6::double * n as score from t union all select a.next, b.next, 0.3::double * b.n from t a join t b on a.prev = b.prev),
 u as (select key, candidate, round(sum(score), 6) as score from s group by 1, 2), r as (select *, row_number() over (partition by key order by score desc, candidate) as rank from u)
 select key, candidate, score, rank::bigint as rank from r where rank <= 5""",
     "warming_candidates": f"with {_WARM} select * from warm",
     "warming_report": f"with {_WARM} select count(*) as candidates, ceil(count(*) / 1000.0)::bigint as batches, count_if(item_key in (select id from store_items))::bigint as warmed, count_if(item_key not in (select id from store_items))::bigint as failed from warm",
     "lru_residency": f"with {_LOG}, l as (select item_key, max((ts, seq)) as last, {_FNV} % 16 as shard from log where item_key is not null group by item_key), r as (select *, row_number() over (partition by shard order by last desc, item_key) as place from l) select shard, item_key, place::bigint as place from r where place <= 50",
-    "lru_hit_rate": """with a as (select user_id % 4 as shard, user_id, row_number() over (partition by user_id % 4 order by ts, event_id) as i from events),
-p as (select *, lag(i) over (partition by user_id order by i) as before from a),
-d as (select p.shard, p.i, count(distinct q.user_id) as between from p join p q on q.shard = p.shard and q.i > p.before and q.i < p.i group by p.shard, p.i)
-select p.shard::bigint as shard, count(*) as accesses, count_if(p.before is not null and coalesce(d.between, 0) < 20)::bigint as hits from p left join d on d.shard = p.shard and d.i = p.i group by p.shard""",
+    "lru_hit_rate": f"""with {_LOG}, a as (select shard, item_key, row_number() over (partition by shard order by ts, seq, item_key) as i from (select item_key, ts, seq, {_FNV} % 16 as shard from log where item_key is not null)),
+p as (select *, lag(i) over (partition by item_key order by i) as before from a),
+d as (select p.shard, p.i, count(distinct q.item_key) as between from p join p q on q.shard = p.shard and q.i > p.before and q.i < p.i group by p.shard, p.i)
+select p.shard::bigint as shard, count(*) as accesses, count_if(p.before is not null and coalesce(d.between, 0) < 50)::bigint as hits from p left join d on d.shard = p.shard and d.i = p.i group by p.shard""",
     "latency_mean": f"with {_LOG} select op, count(*) as n, round(avg(latency_ms), 6) as latency from timed group by op",
     "hit_rate": f"with {_LOG} select op, round(avg(case when success then 1.0::double when not success then 0.0::double end), 6) as rate, count(success) as n from log group by op",
     "ewma_latency": f"with {_LOG}, {_EWMA} select op, n, round(ewma, 6) as ewma from ewma",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions import keys
+from vecloom.functions import keys, metadata
 from vecloom.operators import cache, items
 from vecloom.runtime import scratch
 from vecloom.sources import table
@@ -148,6 +148,13 @@ def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).select("id", F.try_variant_get(parsed, "$.collection", "string").alias("collection"), F.try_variant_get(parsed, "$.index_type", "string").alias("index_type"), F.try_variant_get(parsed, "$.noise_level", "double").alias("noise_level"))
 
 
+def metadata_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata with the index of its item put in, read again; what was no object becomes one."""
+    put = metadata.put(F.col("metadata"), index_type=F.lit("ivf"), vector_idx=F.length("id"))
+    back = F.try_parse_json("written")
+    return _store(spark, sf_dir).withColumn("written", put).select("id", F.try_variant_get(back, "$.collection", "string").alias("collection"), F.try_variant_get(back, "$.index_type", "string").alias("index_type"), F.try_variant_get(back, "$.vector_idx", "bigint").alias("vector_idx"))
+
+
 def compression_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries above the threshold, by type: number and bytes."""
     rows = _cache(spark, sf_dir).filter(keys.compressible(F.col("content.data")))
@@ -201,7 +208,7 @@ def consistency_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.when(F.col("missing"), "insert").when(F.col("type") | F.col("data") | F.col("vector") | F.col("metadata"), "update").otherwise("keep").alias("action"))
 
 
-QUERIES = {f.__name__: f for f in (point_lookup, multi_get, predicate_scan, full_scan_limit, projection_ids, dataset_size, recent_items_scan, batch_set_validation, content_type_validation, dimension_validation, write_verification, delete_by_ids, delete_cascade, upsert_items, last_write_wins, flush_batches, ingest_enriched, read_through_get, metadata_extract, compression_candidates, compression_round_trip, ttl_live_entries, byte_budget_eviction, shard_of_key, consistency_check, consistency_repair)}
+QUERIES = {f.__name__: f for f in (metadata_put, point_lookup, multi_get, predicate_scan, full_scan_limit, projection_ids, dataset_size, recent_items_scan, batch_set_validation, content_type_validation, dimension_validation, write_verification, delete_by_ids, delete_cascade, upsert_items, last_write_wins, flush_batches, ingest_enriched, read_through_get, metadata_extract, compression_candidates, compression_round_trip, ttl_live_entries, byte_budget_eviction, shard_of_key, consistency_check, consistency_repair)}
 
 _VALID = "coalesce(content.type in ('text', 'code', 'math', 'json', 'markdown', ''), false)"
 _BYTES = "octet_length(encode(content.data))"
@@ -239,6 +246,7 @@ ORACLE = {
     "last_write_wins": f"with {_ONCE} select id, cache_key, coalesce({_BYTES}, -1)::bigint as bytes, cached_at from once",
     "flush_batches": "select i // 2000 as batch, count(*) as n, min(created_at) as first, max(created_at) as last from (select created_at, row_number() over (order by created_at, id) - 1 as i from store_items) group by 1",
     "read_through_get": f"with {_ONCE}, k as (select distinct item_key as id from access_log where item_key is not null) select k.id, case when c.id is not null then 'cache' when s.id is not null then 'store' else 'miss' end as source, case when c.id is not null then c.content.type else s.content.type end as type from k left join once c on k.id = c.id left join store_items s on k.id = s.id",
+    "metadata_put": "select id, case when json_valid(metadata) then json_extract_string(metadata, '$.collection') end as collection, 'ivf' as index_type, length(id) as vector_idx from store_items",
     "metadata_extract": f"select id, json_extract_string({_JSON}, '$.collection') as collection, json_extract_string({_JSON}, '$.index_type') as index_type, try_cast(json_extract_string({_JSON}, '$.noise_level') as double) as noise_level from store_items",
     "compression_candidates": f"select coalesce(content.type, '?') as type, count(*) as n, sum({_BYTES})::bigint as bytes from cache_items where {_BYTES} > 1024 group by 1",
     "ttl_live_entries": f"with n as (select max({_NS}) as now from cache_items), t as (select cache_key, cached_at, case when expires_at > {_NS} then expires_at - {_NS} else 86400000000000 end as ttl_ns from cache_items) select cache_key, cached_at, ttl_ns from t, n where now + 604800000000000 - {_NS} < ttl_ns",

@@ -25,16 +25,13 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "streamed")
-    counted = streaming.windowed(streaming.source(spark, f"{sf_dir}/access_log.parquet"))
-    # complete mode gives the whole table with every batch; the last one stays
-    streaming.run(counted, lambda batch, n: batch.write.mode("overwrite").parquet(path), "complete")
+    streaming.closed(spark, f"{sf_dir}/access_log.parquet", streaming.windowed, path)
     return spark.read.parquet(path).select("op", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("latency", 6).alias("latency"), F.round("rate", 6).alias("rate"))
 
 
 def stream_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "streamed")
-    seen = streaming.patterns(streaming.source(spark, f"{sf_dir}/access_log.parquet"))
-    streaming.run(seen, lambda batch, n: batch.write.mode("overwrite").parquet(path), "complete")
+    streaming.closed(spark, f"{sf_dir}/access_log.parquet", streaming.patterns, path)
     return spark.read.parquet(path).select("item_key", F.col("start").cast("timestamp_ntz").alias("start"), "accesses", F.col("last").cast("timestamp_ntz").alias("last"))
 
 

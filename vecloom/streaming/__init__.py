@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.keys import shard_of
-from vecloom.operators.items import problems
+from vecloom.operators.items import broken
 from vecloom.operators.metrics import tumbling
 from vecloom.runtime import scratch
 
@@ -34,14 +34,30 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str =
 
 
 def ingest(stream: DataFrame, path: str, dimension: int = 64, shards: int = 16, **how: Any) -> None:
-    """Validated, enriched append: invalid items are left out of their batch, the others get their shard. A batch writes its own
-    folder, so a repeated batch replaces itself and nothing is written twice."""
+    """Validated, enriched append: rows that break a rule are left out, the others get their shard. Rows are judged one by one, so a
+    batch is read once. A batch writes its own folder, so a repeated batch replaces itself and nothing is written twice."""
+    valid = stream.filter(F.size(broken(dimension)) == 0).withColumn("shard", shard_of(F.col("id"), shards))
+    run(valid, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), **how)
 
-    def write(batch: DataFrame, number: int) -> None:
-        bad = problems(batch, dimension).select("id").distinct()
-        batch.join(bad, "id", "left_anti").withColumn("shard", shard_of(F.col("id"), shards)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run(stream, write, **how)
+def close(rows: DataFrame, path: str, column: str = "ts") -> None:
+    """End a log that goes on in the folder ``path``: one row of its latest time plus a thousand years and null otherwise, so that
+    the watermark passes every window that is still open."""
+    last = rows.agg(F.max(column).alias(column)).withColumn(column, (F.coalesce(F.col(column), F.lit("2000-01-01").cast(rows.schema[column].dataType)) + F.expr("INTERVAL 1000 YEARS")).cast(rows.schema[column].dataType))
+    last.select(*[F.col(column) if c == column else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+
+
+def closed(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], target: str, column: str = "ts") -> None:
+    """Run ``plan`` over the log at ``path`` in append mode, each batch into its own folder of ``target``, and then end the log, so
+    that all windows are written. State is dropped with the watermark, and what is written is not written again."""
+    ends, checkpoint = scratch(spark, "ends"), scratch(spark, "stream")
+    log = spark.read.parquet(path)
+    stream = source(spark, path).unionByName(spark.readStream.schema(log.schema).parquet(ends))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+    run(plan(stream), write, checkpoint=checkpoint)
+    close(log, ends, column)
+    # the same query goes on where it stopped
+    run(plan(stream), write, checkpoint=checkpoint)
 
 
 def delivered_once(stream: DataFrame, late: str = "14 days") -> DataFrame:
@@ -58,6 +74,7 @@ def windowed(stream: DataFrame, width: str = "1 hour", late: str = "14 days") ->
 def patterns(stream: DataFrame, idle: str = "24 hours", late: str = "14 days") -> DataFrame:
     """(item_key, start, accesses, last): access patterns of every key. A pattern ends when its key is not accessed for ``idle``;
     its state is dropped once the watermark has passed that end."""
-    timed = stream.filter(F.col("item_key").isNotNull()).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    # rows without a key move the watermark, too: a filter on the key alone would be moved before it
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).filter(F.when(F.col("at").isNotNull(), F.col("item_key").isNotNull()))
     found = timed.groupBy(F.session_window("at", idle).alias("w"), "item_key").agg(F.count("*").alias("accesses"), F.max("at").alias("last"))
     return found.select("item_key", F.col("w.start").alias("start"), "accesses", "last")
