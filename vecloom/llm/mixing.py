@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.llm.tokens import RANKS, token_sizes
+from vecloom.llm.tokens import token_sizes
 from vecloom.runtime import stage
 
 
@@ -89,7 +89,7 @@ def curves(need: Mapping[str, float], points: Mapping[str, list[tuple[float, flo
     return {s: x / x[-1] for s, x in zip(names, sums, strict=True)}
 
 
-def mix_sources(df: DataFrame, targets: DataFrame, schedule: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", how: Mix = Mix(), ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(df: DataFrame, targets: DataFrame, schedule: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", how: Mix = Mix(), ranks: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(the mix in training order, the shares reached).
 
     The mix has (position, id, source, copy, tokens), ``position`` rising from 0 to 1 over training and ``copy`` counting

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.repetition import words
-from vecloom.llm.tokens import RANKS, count_tokens
+from vecloom.llm.tokens import count_tokens, rank_file
 from vecloom.runtime import shuffle_partitions, slices, stage
 
 
@@ -146,7 +146,7 @@ class Packer:
             rest = kept
 
 
-def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve: Curve = Curve(), ranks: str = RANKS, most_kinds: int = 1000) -> DataFrame:
+def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve: Curve = Curve(), ranks: str | None = None, most_kinds: int = 1000) -> DataFrame:
     """(id, part, parts, first, tokens, container, capacity, bin, used): every text's place in a container.
 
     Texts are measured in tokens and placed on a Hilbert curve by their hashed words; the table is range-partitioned
@@ -164,6 +164,7 @@ def pack(df: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < len(kinds) <= most_kinds:
         raise ValueError(f"between 1 and {most_kinds} containers of positive capacity are needed, not {len(kinds)}")
     most = max(c for _, c in kinds)
+    ranks = rank_file(df.sparkSession, ranks)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 

@@ -9,13 +9,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.runtime import slices
 
-#: Rank file of a byte-level BPE vocabulary; executors read it at this path.
+#: Rank file of a byte-level BPE vocabulary, unless the session names one that all executors can read in ``SETTING``.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SETTING = "spark.vecloom.tokenizer"
 #: Fixed value: the public pattern that splits text before the merges of such files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -27,13 +28,18 @@ def encoder(ranks: str = RANKS) -> tiktoken.Encoding:
     return tiktoken.Encoding("vecloom", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
+def rank_file(spark: SparkSession, ranks: str | None) -> str:
+    return ranks or spark.conf.get(SETTING, RANKS)
+
+
 def count_tokens(texts: list[str | None], ranks: str = RANKS) -> np.ndarray:
     encode = encoder(ranks).encode_ordinary
     return np.array([len(encode(t)) if t else 0 for t in texts], np.int64)
 
 
-def token_sizes(df: DataFrame, id_col: str, text_col: str, *also: str, ranks: str = RANKS) -> DataFrame:
+def token_sizes(df: DataFrame, id_col: str, text_col: str, *also: str, ranks: str | None = None) -> DataFrame:
     """(id, tokens, also...): the size of every text; null and empty texts have 0. Nothing is shuffled."""
+    ranks = rank_file(df.sparkSession, ranks)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *also)
     schema = ", ".join([f"id {source.schema['id'].dataType.simpleString()}, tokens bigint", *[f"{c} {source.schema[c].dataType.simpleString()}" for c in also]])
 
