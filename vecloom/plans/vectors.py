@@ -92,10 +92,10 @@ def graph_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of every second label's nodes merged with the whole one, the best eight links a node."""
+    """A graph of few but weaker links merged with the usual one, the best eight links a node."""
     whole = _edges(spark, sf_dir)
-    part = graph.similarity_edges(_all(spark, sf_dir).filter("label >= 5"), NEAR, 32, **PAIR)
-    return _rounded(graph.merge_edges(whole, part, 8), "similarity")
+    weak = graph.similarity_edges(_all(spark, sf_dir), 0.2, 4, **PAIR)
+    return _rounded(graph.merge_edges(whole, weak, 8), "similarity")
 
 
 def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +496,7 @@ select query_id, item_id, rank::bigint as rank, round(m, 6) + 0.0 as distance fr
 h1 as (select start, dst as node, 1 as hop from h join edges on node = src), h2 as (select start, dst as node, 2 as hop from h1 join edges on node = src)
 select start, node, min(hop)::bigint as hop from (select * from h union all select * from h1 union all select * from h2) group by start, node""",
         "graph_merge_edges": f"""with {_EDGES}, part as (select * from (select a.vec_id as src, b.vec_id as dst, {_cos("a.embedding", "b.embedding")} as similarity,
-  row_number() over (partition by a.vec_id order by {_cos("a.embedding", "b.embedding")} desc, b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.label >= 5 and b.label >= 5 and {_cos("a.embedding", "b.embedding")} >= {NEAR}) where rank <= 32),
+  row_number() over (partition by a.vec_id order by {_cos("a.embedding", "b.embedding")} desc, b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id where {_cos("a.embedding", "b.embedding")} >= 0.2) where rank <= 4),
 m as (select src, dst, max(similarity) as similarity from (select src, dst, similarity from edges union all select src, dst, similarity from part) group by src, dst),
 r as (select *, row_number() over (partition by src order by similarity desc, dst) as rank from m)
 select src, dst, round(similarity, 6) + 0.0 as similarity, rank::bigint as rank from r where rank <= 8""",
