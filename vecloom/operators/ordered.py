@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from vecloom.runtime import shuffle_partitions, stage
 
 
+def _changes(g: pa.Array) -> np.ndarray:
+    """Whether a row begins a run of equal values; nulls are equal."""
+    out = np.ones(len(g), bool)
+    if len(g) > 1:
+        a, b = g.slice(0, len(g) - 1), g.slice(1)
+        same = np.asarray(pc.fill_null(pc.equal(a, b), False)) | (np.asarray(a.is_null()) & np.asarray(b.is_null()))
+        out[1:] = ~same
+    return out
+
+
 def _sorted(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return df.repartitionByRange(shuffle_partitions(df.sparkSession), group, *order).sortWithinPartitions(group, *order)
 
@@ -29,28 +40,30 @@ def successors(df: DataFrame, group: str, order: list[str], value: str) -> DataF
     """
     rows = _sorted(df.select(group, *order, F.col(value).alias("_v")), group, [*order, "_v"]).select(F.col(group).alias("g"), F.col("_v").alias("v"))
     g_type, v_type = (rows.schema[c].dataType for c in ("g", "v"))
-    g_arrow, v_arrow = to_arrow_type(g_type), to_arrow_type(v_type)
+    v_arrow = to_arrow_type(v_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         first = last = None
 
-        def rows_of(kind: int, g: list, v: list, n: list) -> pa.RecordBatch:
-            return pa.record_batch({"kind": pa.array([kind] * len(g), pa.int32()), "task": pa.array([task] * len(g), pa.int64()), "g": pa.array(g, g_arrow), "v": pa.array(v, v_arrow), "n": pa.array(n, v_arrow)})
+        def rows_of(kind: int, g: pa.Array, v: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.record_batch({"kind": pa.array(np.full(len(g), kind, np.int32)), "task": pa.array(np.full(len(g), task, np.int64)), "g": g, "v": v, "n": n})
 
         for batch in batches:
-            g, v = batch["g"].to_pylist(), batch["v"].to_pylist()
-            if not g:
+            g, v = batch["g"], batch["v"]
+            if not len(g):
                 continue
             if first is None:
-                first = (g[0], v[0])
-            if last is not None:
-                g, v = [last[0], *g], [last[1], *v]
-            same = [i for i in range(len(g) - 1) if g[i] == g[i + 1]]
-            yield rows_of(0, [g[i] for i in same], [v[i] for i in same], [v[i + 1] for i in same])
-            last = (g[-1], v[-1])
+                first = (g.slice(0, 1), v.slice(0, 1))
+            else:
+                g, v = pa.concat_arrays([last[0], g]), pa.concat_arrays([last[1], v])
+            at = np.flatnonzero(~_changes(g)[1:])
+            yield rows_of(0, g.take(pa.array(at)), v.take(pa.array(at)), v.take(pa.array(at + 1)))
+            # copied, so that no batch is held for its last row
+            last = (g.take(pa.array([len(g) - 1])), v.take(pa.array([len(v) - 1])))
         if first is not None:
-            yield rows_of(1, [first[0], last[0]], [first[1], None], [None, last[1]])
+            nothing = pa.nulls(1, v_arrow)
+            yield rows_of(1, pa.concat_arrays([first[0], last[0]]), pa.concat_arrays([first[1], nothing]), pa.concat_arrays([nothing, last[1]]))
 
     g_name, v_name = g_type.simpleString(), v_type.simpleString()
     found = stage(rows.mapInArrow(run, f"kind int, task bigint, g {g_name}, v {v_name}, n {v_name}").withColumn("end", F.monotonically_increasing_id()), "successors")
@@ -73,18 +86,18 @@ def running_total(df: DataFrame, group: str, order: list[str], value: str, colum
         task = TaskContext.get().partitionId()
         last, total = None, 0
         for batch in batches:
-            g = batch[group].to_pylist()
+            g = batch[group]
             x = np.nan_to_num(batch[value].to_numpy(zero_copy_only=False)).astype(np.int64)
             if not len(g):
                 continue
-            change = np.array([True] + [g[i] != g[i - 1] for i in range(1, len(g))])
+            change = _changes(g)
             sums = np.cumsum(x)
             base = np.maximum.accumulate(np.where(change, np.arange(len(g)), 0))
             own = sums - sums[base] + x[base]
-            if last is not None and g[0] == last[0]:
+            if last is not None and g[0].as_py() == last[0]:
                 upto = int(np.flatnonzero(change[1:])[0]) + 1 if change[1:].any() else len(g)
                 own[:upto] += total
-            last, total = (g[-1],), int(own[-1])
+            last, total = (g[len(g) - 1].as_py(),), int(own[-1])
             yield pa.record_batch({**{c: batch[c] for c in names}, "_task": pa.array(np.full(len(g), task, np.int64)), "_own": pa.array(own)})
 
     found = stage(rows.mapInArrow(run, f"{fields}, _task bigint, _own bigint"), "running")
@@ -107,14 +120,18 @@ def ewma(df: DataFrame, group: str, order: list[str], value: str, alpha: float =
         task = TaskContext.get().partitionId()
         held: dict = {}
         for batch in batches:
-            for g, v in zip(batch["g"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            values = batch["v"].to_numpy()
+            starts = np.flatnonzero(_changes(batch["g"]))
+            for start, stop in zip(starts, [*starts[1:], len(values)], strict=True):
+                g, x = batch["g"][int(start)].as_py(), values[start:stop]
+                # the fold over a run in one product
+                weight = alpha * (1 - alpha) ** np.arange(len(x) - 1, -1, -1.0)
+                folded, left = float(weight @ x), (1 - alpha) ** len(x)
                 own = held.get(g)
                 if own is None:
-                    held[g] = [1, v, alpha * v]
+                    held[g] = [len(x), folded + left * float(x[0]), folded]
                 else:
-                    own[0] += 1
-                    own[1] = (1 - alpha) * own[1] + alpha * v
-                    own[2] = (1 - alpha) * own[2] + alpha * v
+                    held[g] = [own[0] + len(x), left * own[1] + folded, left * own[2] + folded]
             if len(held) > 1:
                 # sorted by group: all but the latest are complete
                 *done, current = list(held)
