@@ -302,7 +302,8 @@ class Ascent:
         self.floor[own] = np.maximum(self.floor[own], self.score[own, -1])
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, places = np.nonzero(self.other >= 0)
+        """(row, other, score) of the rows that are not left over."""
+        rows, places = np.nonzero((self.other >= 0) & ~self.left[:, None])
         return rows, self.other[rows, places], self.score[rows, places]
 
 
@@ -312,7 +313,8 @@ def forest_links(first: DataFrame, number: int, k: int, least: float, dimension:
     Each tree is one sorted array of hash strings: rows go to tasks by cells, prefixes of varying length, so a task holds
     stretches of sorted arrays. ``Ascent`` descends to the longest prefixes and ascends in all trees by the same levels.
     Vectors travel as 8-bit integers; scores are within about 0.005 of the cosine and only choose candidates. A link found in
-    several trees is given several times; a row without ``b`` says that ``a`` shares the level it needs with too many rows.
+    several trees is given several times; a row without ``b`` says that ``a`` shares the level it needs with too many rows, and has
+    the score of its k-th best so far (-2 without one) instead of its links.
     """
     spark = first.sparkSession
     fitted = fit(bounded_sample(first, number, forest.sample, dimension), number, least, forest, shuffle_partitions(spark))
@@ -355,7 +357,7 @@ def forest_links(first: DataFrame, number: int, k: int, least: float, dimension:
                 own = slice(at, at + 20_000)
                 yield pa.record_batch({"a": ids.take(pa.array(a[own])), "b": ids.take(pa.array(b[own])), "score": pa.array(score[own])})
             if len(left):
-                yield pa.record_batch({"a": ids.take(pa.array(left)), "b": pa.nulls(len(left), id_arrow), "score": pa.nulls(len(left), pa.float32())})
+                yield pa.record_batch({"a": ids.take(pa.array(left)), "b": pa.nulls(len(left), id_arrow), "score": pa.array(ascent.score[left, k - 1])})
 
         yield from by_cell(batches, links)
 
@@ -424,13 +426,12 @@ def most_similar(df: DataFrame, id_col: str = "id", vector_col: str = "vector",
     first = classes.select(F.col("ids")[0].alias("id"), "vector")
     number = first.count()
     links = stage(forest_links(first, number, k + 1, least, dimension, forest), "links")
-    rest = stage(links.filter("b is null").select(F.col("a").alias("id")).distinct(), "rest")
+    # a little less than what the k-th best reaches
+    rest = stage(links.filter("b is null").groupBy(F.col("a").alias("id")).agg((F.max("score").cast("double") - 0.01).alias("floor")), "rest")
     met = links.filter("b is not null").groupBy("a", "b").agg(F.max("score").alias("score"))
     if rest.head(1):
         settled = met.join(rest.select(F.col("id").alias("a")), "a", "left_anti")
-        # a little less than what the k-th best reaches
-        floors = met.join(rest.select(F.col("id").alias("a")), "a", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score")))).filter(F.col("place") == k + 1).select(F.col("a").alias("id"), (F.col("score").cast("double") - 0.01).alias("floor"))
-        found = with_similarity(settled.select("a", "b"), first, dimension).unionByName(closest(first, number, rest, floors, k + 1, least, dimension))
+        found = with_similarity(settled.select("a", "b"), first, dimension).unionByName(closest(first, number, rest, k + 1, least, dimension))
     else:
         found = with_similarity(met.select("a", "b"), first, dimension)
     names = classes.select(F.col("ids")[0].alias("name"), "class", "ids")

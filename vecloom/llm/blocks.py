@@ -164,19 +164,20 @@ def met(asked: DataFrame, others: DataFrame, k: int, dimension: int, id_type: st
     return pairs.mapInArrow(search, f"a {id_type}, b {id_type}, similarity double").filter("a <> b")
 
 
-def closest(rows: DataFrame, number: int, asked: DataFrame, floors: DataFrame, k: int, least: float, dimension: int) -> DataFrame:
+def closest(rows: DataFrame, number: int, asked: DataFrame, k: int, least: float, dimension: int) -> DataFrame:
     """(a, b, similarity), of similarity ``least`` or more: for every asked id a superset of its k most similar of (id, vector).
 
-    ``floors`` (id, floor) has what an asked vector's k-th best is expected to reach; it bounds the work, not the result:
-    a vector with fewer than k others above its floor is asked again without one. ``rows`` must be staged, ids unique.
+    ``asked`` is (id, floor), floor being what the k-th best is expected to reach;
+    it bounds the work, not the result: a vector with fewer than k others above its floor is asked again without one. ``rows``
+    must be staged, ids unique.
     """
     id_type = rows.schema["id"].dataType.simpleString()
-    start = rows.join(asked, "id").join(floors, "id", "left").select("id", "vector", F.greatest(F.lit(least), F.coalesce("floor", F.lit(least))).alias("floor"))
+    start = rows.join(asked, "id").select("id", "vector", F.greatest(F.lit(least), F.coalesce("floor", F.lit(least))).alias("floor"))
     centres = fit_cells(bounded_sample(rows, number, 4096, dimension), max(1, min(CELLS, number // BLOCK)))
     blocks = packed_blocks(rows.withColumn("floor", F.lit(least)), dimension, centres)
     found = stage(met(packed_blocks(start, dimension, centres), blocks, k, dimension, id_type), "nearest")
     held = found.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("a").alias("id"))
-    short = stage(floors.filter(F.col("floor") > least).select("id").join(held, "id", "left_anti"), "short")
+    short = stage(asked.filter(F.col("floor") > least).select("id").join(held, "id", "left_anti"), "short")
     if number > k and short.head(1):
         again = packed_blocks(rows.join(short, "id").select("id", "vector", F.lit(least).alias("floor")), dimension, centres)
         found = found.unionByName(met(again, blocks, k, dimension, id_type)).distinct()
