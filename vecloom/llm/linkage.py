@@ -266,7 +266,7 @@ def most_like(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, exact[np.arange(len(x)), best]
 
 
-def named_clusters(sums: DataFrame, codes: np.ndarray, centroids: np.ndarray, dimension: int = 64) -> DataFrame:
+def named_clusters(sums: DataFrame, centroids: np.ndarray, dimension: int = 64) -> DataFrame:
     """(cluster, size, place, value, radius, mean): the centroid most similar to each cluster's mean, and the angle to the mean within
     which it is every member's: half of what the second nearest is further away, by the triangle inequality of angles."""
     cluster_type = sums.schema["cluster"].dataType.simpleString()
@@ -315,7 +315,7 @@ def clustered_codes(found: Clusters, codes: np.ndarray, centroids: np.ndarray, l
             yield pa.record_batch({"class": batch["class"].take(keep), "cluster": batch["cluster"].take(keep), "code": pa.array(codes[place]).take(keep), "similarity": pa.array(value).take(keep), "by_cluster": pa.array(inside).take(keep)})
 
     # fragments hold a bounded number of classes, so no key of this join is hot
-    by_fragment = found.fragments.join(named_clusters(found.sums, codes, centroids, dimension), "cluster").select("fragment", "place", "radius", "mean")
+    by_fragment = found.fragments.join(named_clusters(found.sums, centroids, dimension), "cluster").select("fragment", "place", "radius", "mean")
     named = found.classes.join(by_fragment, "fragment").select("class", "cluster", "vector", "place", "radius", "mean").mapInArrow(name, f"class {class_type}, cluster {cluster_type}, code bigint, similarity double, by_cluster boolean")
     return found.members.join(named, "class").select("id", "cluster", "code", "similarity", "by_cluster")
 
@@ -325,15 +325,9 @@ def described_clusters(found: Clusters, codes: np.ndarray, centroids: np.ndarray
     mean (null below ``least``), and its ``typical`` ids most similar to the mean, ties by id."""
     spark = found.classes.sparkSession
     cluster_type, class_type = (found.classes.schema[c].dataType.simpleString() for c in ("cluster", "class"))
-    own = centroids if len(codes) else np.zeros((1, dimension))
-    code_of = F.lit(None).cast("bigint") if not len(codes) else F.when(F.col("value") >= least, F.element_at(F.array(*[F.lit(int(c)) for c in codes]), F.col("place").cast("int") + 1)) if len(codes) <= 1000 else None
-    named = named_clusters(found.sums, codes, own, dimension)
-    if code_of is None:
-        table = spark.createDataFrame(list(enumerate(codes.tolist())), "place bigint, code bigint")
-        named = named.join(table, "place").withColumn("code", F.when(F.col("value") >= least, F.col("code")))
-    else:
-        named = named.withColumn("code", code_of)
-    named = named.withColumn("code", F.col("code").cast("bigint"))
+    # a codebook's size is checked when it is read
+    table = F.broadcast(spark.createDataFrame(list(enumerate(codes.tolist())) or [(0, None)], "place bigint, code bigint"))
+    named = named_clusters(found.sums, centroids if len(codes) else np.zeros((1, dimension)), dimension).join(table, "place").withColumn("code", F.when(F.col("value") >= least, F.col("code")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slabs(batches, 1):
